@@ -22,6 +22,9 @@ LOWER[65:91] += 32
 #: The separators of words: space and \t \n \v \f \r.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: All ASCII that is neither a letter nor a digit: the separators of plain words.
+PUNCT = np.ones(256, dtype=bool)
+PUNCT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: Bytes handled at once.
 SLICE = 1 << 20
 _POW = np.ones(1, dtype=_U)
@@ -88,26 +91,26 @@ def slices(off: np.ndarray, limit: int = SLICE):
         i = j
 
 
-def _cuts(data: np.ndarray, limit: int):
+def _cuts(data: np.ndarray, limit: int, sep: np.ndarray = SPACE):
     """Ranges of a long text that end after a separator, so no word is split."""
     at, n = 0, len(data)
     while at < n:
         end = min(at + limit, n)
         if end < n:
-            back = np.flatnonzero(SPACE[data[at:end]])
+            back = np.flatnonzero(sep[data[at:end]])
             if len(back):
                 end = at + int(back[-1]) + 1
             else:  # one word longer than the limit
-                while end < n and not SPACE[data[end]]:
-                    ahead = np.flatnonzero(SPACE[data[end : end + limit]])
+                while end < n and not sep[data[end]]:
+                    ahead = np.flatnonzero(sep[data[end : end + limit]])
                     end = end + (int(ahead[0]) if len(ahead) else min(limit, n - end))
         yield at, end
         at = end
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in ``data``, and the index of the first word of each row (n + 1). off: relative to data."""
-    word = ~SPACE[data]
+    word = ~sep[data]
     n = len(data)
     first = np.zeros(n + 1, dtype=bool)
     first[off] = True  # a row's first byte starts anew
@@ -122,19 +125,19 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, off)
 
 
-def hash_words(raw: np.ndarray, off: np.ndarray, i: int, j: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(raw: np.ndarray, off: np.ndarray, i: int, j: int, lower: bool = True, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of rows i..j, and the index of each row's first word (n + 1)."""
     a, b = int(off[i]), int(off[j])
     if b - a <= 4 * SLICE or j - i > 1:
         data = raw[a:b]
         data = LOWER[data] if lower else data
-        starts, ends, at = word_spans(data, off[i : j + 1] - a)
+        starts, ends, at = word_spans(data, off[i : j + 1] - a, sep)
         return span_hashes(prefix_sums(data), starts, ends), at
     found = []
-    for x, y in _cuts(raw[a:b], SLICE):
+    for x, y in _cuts(raw[a:b], SLICE, sep):
         data = raw[a + x : a + y]
         data = LOWER[data] if lower else data
-        starts, ends, _ = word_spans(data, np.array([0, y - x]))
+        starts, ends, _ = word_spans(data, np.array([0, y - x]), sep)
         found.append(span_hashes(prefix_sums(data), starts, ends))
     h = np.concatenate(found) if found else np.zeros(0, _U)
     return h, np.array([0, len(h)])

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash_dedup
+from . import bpe, decontaminate, exact_dedup, minhash_dedup
 
 _UPPER, _LOWER = exact_dedup.UPPER, exact_dedup.LOWER
 
@@ -13,6 +14,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -21,9 +40,29 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup, "op9_minhash_dedup": op9_minhash_dedup}
+QUERIES = {"op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op8_exact_dedup": op8_exact_dedup, "op9_minhash_dedup": op9_minhash_dedup}
 
 ORACLE_SQL = {
+    "op4_decontaminate": f"""
+        WITH t AS (
+            SELECT 'd' AS k, CAST(doc_id AS VARCHAR) AS id, text FROM documents
+            UNION ALL SELECT 'i', CAST(item_id AS VARCHAR), text FROM benchmark),
+        w AS (
+            SELECT k, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws
+            FROM t),
+        win AS (
+            SELECT DISTINCT id AS item, l, unnest([array_to_string(ws[i:i + l - 1], ' ') for i in range(1, len(ws) - l + 2)]) AS s
+            FROM (SELECT id, ws, least(len(ws), 10) AS l FROM w WHERE k = 'i' AND len(ws) > 0)),
+        sizes AS (SELECT DISTINCT l FROM win),
+        runs AS (
+            SELECT id, l, unnest(range(1, len(ws) - l + 2)) AS i, unnest([array_to_string(ws[i:i + l - 1], ' ') for i in range(1, len(ws) - l + 2)]) AS s
+            FROM w, sizes WHERE k = 'd' AND len(ws) >= l),
+        hits AS (SELECT r.id, r.i, r.l, v.item FROM runs r JOIN win v ON r.l = v.l AND r.s = v.s),
+        spots AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + l)) AS p FROM hits) GROUP BY id),
+        found AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY id)
+        SELECT d.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, coalesce(s.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items,
+               sha256(coalesce(f.items, '')) AS items_sha256, s.n_hit IS NOT NULL AS contaminated
+        FROM documents d JOIN w ON w.k = 'd' AND w.id = CAST(d.doc_id AS VARCHAR) LEFT JOIN spots s ON s.id = w.id LEFT JOIN found f ON f.id = w.id""",
     "op8_exact_dedup": f"""
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
