@@ -125,22 +125,23 @@ def word_spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE) -> tu
     return starts, ends, np.searchsorted(starts, off)
 
 
-def hash_words(raw: np.ndarray, off: np.ndarray, i: int, j: int, lower: bool = True, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of rows i..j, and the index of each row's first word (n + 1)."""
+def hash_words(raw: np.ndarray, off: np.ndarray, i: int, j: int, lower: bool = True, sep: np.ndarray = SPACE, stems: tuple[int, ...] = ()) -> tuple:
+    """Hashes of all words of rows i..j, the index of each row's first word (n + 1), and for each of ``stems`` the hashes of the words' first bytes."""
+
+    def one(data, off):
+        data = LOWER[data] if lower else data
+        starts, ends, at = word_spans(data, off, sep)
+        c = prefix_sums(data)
+        return [span_hashes(c, starts, ends), *(span_hashes(c, starts, np.minimum(ends, starts + k)) for k in stems)], at
+
     a, b = int(off[i]), int(off[j])
     if b - a <= 4 * SLICE or j - i > 1:
-        data = raw[a:b]
-        data = LOWER[data] if lower else data
-        starts, ends, at = word_spans(data, off[i : j + 1] - a, sep)
-        return span_hashes(prefix_sums(data), starts, ends), at
-    found = []
-    for x, y in _cuts(raw[a:b], SLICE, sep):
-        data = raw[a + x : a + y]
-        data = LOWER[data] if lower else data
-        starts, ends, _ = word_spans(data, np.array([0, y - x]), sep)
-        found.append(span_hashes(prefix_sums(data), starts, ends))
-    h = np.concatenate(found) if found else np.zeros(0, _U)
-    return h, np.array([0, len(h)])
+        found, at = one(raw[a:b], off[i : j + 1] - a)
+    else:
+        parts = [one(raw[a + x : a + y], np.array([0, y - x]))[0] for x, y in _cuts(raw[a:b], SLICE, sep)]
+        found = [np.concatenate(p) for p in zip(*parts)]
+        at = np.array([0, len(found[0])])
+    return found[0], at, *found[1:]
 
 
 def shingle(h: np.ndarray, width: int) -> np.ndarray:
