@@ -108,6 +108,18 @@ def _cuts(data: np.ndarray, limit: int, sep: np.ndarray = SPACE):
         at = end
 
 
+def segments(raw: np.ndarray, off: np.ndarray, limit: int = 4 * SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets in which rows above ``limit`` bytes are cut after blanks, and the row of each part: bounds the memory for long texts."""
+    if not len(off) or np.diff(off).max(initial=0) <= limit:
+        return off, np.arange(len(off) - 1)
+    cuts, owner = [], []
+    for k in range(len(off) - 1):
+        parts = [(0, 0)] if off[k] == off[k + 1] else list(_cuts(raw[off[k] : off[k + 1]], SLICE)) if off[k + 1] - off[k] > limit else [(0, 0)]
+        cuts += [off[k] + x for x, _ in parts]
+        owner += [k] * len(parts)
+    return np.array([*cuts, off[-1]], dtype=np.int64), np.array(owner, dtype=np.int64)
+
+
 def word_spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in ``data``, and the index of the first word of each row (n + 1). off: relative to data."""
     word = ~sep[data]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, minhash_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, langid, minhash_dedup, quality, toxicity
 from .sampling import remainder
 
 _UPPER, _LOWER = exact_dedup.UPPER, exact_dedup.LOWER
@@ -21,6 +21,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learn_from=remainder("doc_id", 3) != 1)
+    return quality.score(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
     return done.select(
@@ -33,6 +39,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, learn_from=remainder("doc_id", 5) != 0)
+    return langid.predict(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn_from=remainder("doc_id", 4) != 2)
@@ -47,7 +59,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_toxicity": op6_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_minhash_dedup": op9_minhash_dedup}
+QUERIES = {"op1_quality": op1_quality, "op5_langid": op5_langid, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_toxicity": op6_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_minhash_dedup": op9_minhash_dedup}
 
 ORACLE_SQL = {
     "op4_decontaminate": f"""
