@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, minhash_dedup, quality, toxicity
+from . import bpe, decontaminate, exact_dedup, langid, lattice_lm, minhash_dedup, quality, toxicity
 from .sampling import remainder
 
 _UPPER, _LOWER = exact_dedup.UPPER, exact_dedup.LOWER
@@ -51,6 +51,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = lattice_lm.read_pieces(tokenizer_path("piece_bpe_32k.model"))
+    scored = lattice_lm.score(table(spark, sf_dir, "documents"), pieces, learn_from=remainder("doc_id", 10) != 0)
+    return scored.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -59,7 +65,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {"op1_quality": op1_quality, "op5_langid": op5_langid, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_toxicity": op6_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_minhash_dedup": op9_minhash_dedup}
+QUERIES = {"op1_quality": op1_quality, "op5_langid": op5_langid, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_toxicity": op6_toxicity, "op7_lm_score": op7_lm_score, "op8_exact_dedup": op8_exact_dedup, "op9_minhash_dedup": op9_minhash_dedup}
 
 ORACLE_SQL = {
     "op4_decontaminate": f"""
