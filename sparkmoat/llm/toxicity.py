@@ -52,7 +52,7 @@ def _features(raw: np.ndarray, off: np.ndarray, i: int, j: int):
     return np.concatenate(rows), np.concatenate(feats).astype(np.int64)
 
 
-def train(labels: np.ndarray, texts: pa.Array, weights: np.ndarray, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1) -> SparseWeights:
+def train(labels: np.ndarray, texts: pa.Array, weights: np.ndarray, epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1) -> SparseWeights:
     """FTRL-proximal with per-coordinate rates; a feature counts once a text. weights: importance of each row."""
     raw, off = B.buffers(texts)
     rows = []
