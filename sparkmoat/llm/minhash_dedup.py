@@ -4,10 +4,9 @@ Every document has K MinHash coordinates. A document is posted under
 (coordinate, value) pairs; documents that meet under at least MATCH of the K
 coordinates are candidates, and their full shingle sets decide.
 
-* Prefix: two documents that agree on MATCH of K coordinates agree on one of
-  any K - MATCH + 1 of them, if both choose theirs by one global order. The
-  order is by rarity (a fixed-size count sketch over all postings), so only a
-  document's K - MATCH + 1 rarest coordinates are posted.
+* Prefix: two documents that agree on MATCH of K coordinates agree on COMMON
+  among the first K - MATCH + COMMON of each, in any order that holds for all.
+  The order is by rarity, so only a document's rarest coordinates are posted.
 * Skip: lists with one posting, and lists whose members are already in one
   component, are never merged.
 * Copies: documents with equal sets are one class, and only classes are posted.
@@ -20,15 +19,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytehash as B
 from .scratch import Scratch, components, salted_join
 
 K, MATCH = 64, 32
+#: Coordinates that two documents must have in common in their prefixes, which are longer by COMMON - 1 for that.
+COMMON = 2
 #: Bins of the count sketch: 2 MB as 64-bit counts, whatever the input.
 BINS, BLOCK = 1 << 18, 1 << 12
+#: Lists up to this length are compared pair by pair; ratio of the size classes for longer ones.
+SHORT, CLASS = 32, 1.06
 _U = np.uint64
 _RNG = np.random.default_rng(977)
 _MULT = _RNG.integers(1, 2**63, K, dtype=np.int64).astype(_U) * _U(2) + _U(1)
@@ -90,15 +93,21 @@ def _bin(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> _U(40)).astype(np.int64) & (BINS - 1)
 
 
-def sketch(reps: DataFrame) -> np.ndarray:
-    """How often each of BINS token bins occurs in all signatures: a fixed-size array, summed on the executors in two levels."""
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets as one array of hashes, and the size of each set."""
+    raw, off = B.buffers(column)
+    return np.frombuffer(raw[off[0] : off[-1]].tobytes(), dtype=_U), np.diff(off) // 8
+
+
+def sketch(rows: DataFrame, tokens) -> np.ndarray:
+    """How often each of BINS token bins occurs: a fixed-size array, summed on the executors in two levels. tokens: of the Arrow column."""
 
     def count(batches):
         total = np.zeros(BINS, dtype=np.int64)
         some = False
         for b in batches:
             some |= b.num_rows > 0
-            total += np.bincount(_bin(_tokens(b.column(0))).ravel(), minlength=BINS) if b.num_rows else 0
+            total += np.bincount(_bin(tokens(b.column(0))).ravel(), minlength=BINS) if b.num_rows else 0
         if some:
             salt = int(total.sum()) % 64
             yield pa.RecordBatch.from_arrays([pa.array([salt] * (BINS // BLOCK)), pa.array(range(BINS // BLOCK)), pa.array([x.tobytes() for x in total.reshape(-1, BLOCK)])], names=["salt", "block", "counts"])
@@ -107,33 +116,38 @@ def sketch(reps: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(x, dtype=np.int64) for x in table.column("counts").to_pylist())
         return pa.table({"block": [table.column("block")[0].as_py()], "counts": [total.tobytes()]})
 
-    parts = reps.select("sig").mapInArrow(count, "salt long, block long, counts binary")
+    parts = rows.mapInArrow(count, "salt long, block long, counts binary")
     once = parts.groupBy("salt", "block").applyInArrow(add, "block long, counts binary")
-    rows = once.groupBy("block").applyInArrow(add, "block long, counts binary").collect()  # BINS counts in all
+    sums = once.groupBy("block").applyInArrow(add, "block long, counts binary").collect()  # BINS counts in all
     out = np.zeros((BINS // BLOCK, BLOCK), dtype=np.int64)
-    for r in rows:
+    for r in sums:
         out[r[0]] = np.frombuffer(r[1], dtype=np.int64)
     return out.ravel()
 
 
-def postings(reps: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, id): the K - MATCH + 1 rarest coordinates of each class; those that nobody shares are skipped."""
-    shared, post = reps.sparkSession.sparkContext.broadcast(counts), K - MATCH + 1
+def postings(scratch: Scratch, reps: DataFrame) -> DataFrame:
+    """(token, id): of each class its rarest coordinates that another class shares.
+
+    Coordinates are ordered by the exact number of classes that have them. The
+    first K - MATCH + COMMON are the prefix; those that one class alone has
+    come first and need no posting, so most classes post little or nothing.
+    """
 
     def run(batches):
-        load = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                tokens = _tokens(part.column(1))
-                n = load[_bin(tokens)]
-                order = np.lexsort((tokens, n), axis=1)[:, :post]
-                t, n = np.take_along_axis(tokens, order, 1), np.take_along_axis(n, order, 1)
-                rows, cols = np.nonzero(n > 1)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(t[rows, cols].view(np.int64)), pa.array(ids[rows])], names=["token", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(_tokens(part.column(1)).ravel().view(np.int64)), pa.array(np.repeat(ids, K))], names=["token", "id"])
 
-    return reps.select("id", "sig").mapInArrow(run, "token long, id long")
+    every = scratch.put(reps.select("id", "sig").mapInArrow(run, "token long, id long"), "tokens")
+    sizes = every.groupBy("token").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
+    shared = salted_join(every, sizes, ["token"], "id", "len", every.count())
+    order = Window.partitionBy("id").orderBy("len", "token")
+    ranked = shared.withColumn("r", F.row_number().over(order)).withColumn("alone", K - F.count(F.lit(1)).over(Window.partitionBy("id")))
+    posted = scratch.put(ranked.where(F.col("r") + F.col("alone") <= K - MATCH + COMMON).select("token", "id"), "posted")
+    scratch.drop(every)
+    return posted
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -147,6 +161,18 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, n, grams): the full shingle sets of (id, text)."""
+
+    def run(batches):
+        for b in batches:
+            raw, off = B.buffers(b.column(1))
+            found = list(shingle_sets(raw, off, width))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "grams"])
+
+    return texts.mapInArrow(run, "id long, n long, grams binary")
+
+
 def _confirm(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges (a, b) of ``pairs`` whose full sets reach the threshold. Signatures are compared first, then sets."""
 
@@ -170,14 +196,8 @@ def _confirm(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, widt
         return likely
     ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
-    def sets(batches):
-        for b in batches:
-            raw, off = B.buffers(b.column(1))
-            found = list(shingle_sets(raw, off, width))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "grams"])
-
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    full = scratch.put(texts.mapInArrow(sets, "id long, n long, grams binary"), "sets")
+    full = scratch.put(_sets(texts, width), "sets")
 
     def check(batches):
         for b in batches:
@@ -193,6 +213,67 @@ def _confirm(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, widt
     return edges
 
 
+def _prefixes(n: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For sets of the sizes n: (own size class, partner's size class, prefix length) for each class that a partner can be in."""
+    z = np.floor(np.log(n) / np.log(CLASS) + 1e-9).astype(np.int64)
+    reach = int(np.ceil(np.log(100 / percent) / np.log(CLASS)))
+    out = []
+    for other in (z + d for d in range(-reach, reach + 1)):
+        least = np.maximum(np.ceil(CLASS**other - 1e-6), np.ceil(n * percent / 100 - 1e-9))  # the smallest partner in that class
+        need = np.ceil(percent * (n + least) / (100 + percent) - 1e-9)  # what the two must share
+        possible = (other >= 0) & (CLASS ** (other + 1) + 1e-6 >= n * percent / 100) & (least <= n * 100 / percent)
+        out.append((z, other, np.where(possible, np.clip(n - need + 1, 0, n), 0).astype(np.int64)))
+    return out
+
+
+def _crowded(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, crowd: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components among the members (id, comp) of lists too long to compare pair by pair.
+
+    Such lists come from many near copies of one text that are just under the
+    threshold among each other, or from very common shingles. Their full sets
+    are posted under their rarest shingles: two sets that reach the threshold
+    share one among the first n - need + 1 of each, where need is the overlap
+    that their sizes ask for (sizes are dealt in classes, so that need is
+    close). A near copy's rarest shingles are its own changes, so copies that
+    differ in their changes never meet.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sets = scratch.put(_sets(texts.join(crowd.select("id"), "id", "left_semi"), width).join(crowd, "id").dropDuplicates(["id", "n"]), "crowded")
+    counts = sketch(sets.select("grams"), lambda c: _grams(c)[0])
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        load = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                flat, sizes = _grams(part.column(2))
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                n = load[_bin(flat)]
+                order = np.lexsort((flat, n, row))
+                flat, n = flat[order], n[order]
+                pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                ids, comp = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
+                for own, other, length in _prefixes(np.maximum(sizes, 1), percent):
+                    keep = (pos < length[row]) & (n > 1)
+                    r = row[keep]
+                    pair = (np.minimum(own, other)[r] * 4096 + np.maximum(own, other)[r]).astype(_U)
+                    token = B.mix(flat[keep] + B.mix(pair + _U(1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[r]), pa.array(comp[r]), pa.array(sizes[r]), pa.array(pos[keep]), pa.array(own[r])], names=["token", "id", "comp", "n", "pos", "z"])
+
+    posted = scratch.put(sets.select("id", "n", "grams", "comp").mapInArrow(run, "token long, id long, comp long, n long, pos long, z long"), "rare")
+    per = posted.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
+    tops = per.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("t"), F.sum("size").alias("len"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    tops = scratch.put(tops.select("token", F.col("t.comp").alias("major"), "len"), "tops")
+    here = scratch.put(salted_join(posted, tops, ["token"], "id", "len", max(posted.count(), 1)).drop("len"), "here")
+    minor = here.where("comp <> major").select("token", *(F.col(c).alias(f"{c}2") for c in ("id", "comp", "n", "pos")))
+    need = f"ceil({percent} * (n + n2) / {100 + percent}D - 1e-9)"
+    pairs = minor.join(here, "token").where(f"comp <> comp2 and (comp = major or id2 < id) and 100 * least(n, n2) >= {percent} * greatest(n, n2) and least(n - pos, n2 - pos2) >= {need}")
+    pairs = scratch.put(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "rare-pairs")
+    scratch.drop(sets, posted, tops, here)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate components: (id_col, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -205,10 +286,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     How pairs are avoided inside large groups: equal sets are one class. Each
     class is first compared with one hub, the smallest member of the list in
     which it meets it most often; confirmed links give components. Then only
-    pairs from different components that still share a list are compared, the
-    smaller components of a list against the whole list. So a group of near
-    copies costs pairs in proportion to its size, and no link between
-    components is left out.
+    pairs from different components that still share a list are compared, in
+    long lists only those that also share a rare shingle where they must. So a
+    group of near copies costs pairs in proportion to its size, and no link
+    between components is left out.
 
     Cases: null and empty texts, and those without words, have n_shingles 0 and
     are linked with nothing. Rows that repeat an id are rows of their own; a
@@ -220,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     real = signed.where("n > 0 and id is not null")
     classes = scratch.put(real.groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = scratch.put(signed.join(classes.select("hi", "lo", "n", F.col("rep").alias("id")), ["hi", "lo", "n", "id"], "left_semi").select("id", "n", "sig").dropDuplicates(["id", "n"]), "reps")
-    posted = scratch.put(postings(reps, sketch(reps)), "posted")
+    posted = postings(scratch, reps)
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("len"), F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
     n_posted = posted.count()
     met = scratch.put(salted_join(posted, lists.select("token", "len", "hub"), ["token"], "id", "len", n_posted).select("token", "id", "hub", "len"), "met")
@@ -232,18 +313,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = _confirm(scratch, *args, best)
     labels = scratch.put(components(scratch, edges), "labels")
 
-    # Lists that still hold several components: all pairs across components are compared.
-    named = met.join(labels, "id", "left").select("token", "id", F.coalesce("component", "id").alias("comp"))
-    named = scratch.put(named, "named")
-    mixed = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
-    per = named.join(mixed, "token", "left_semi").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
-    tops = per.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("t"), F.sum("size").alias("len")).select("token", F.col("t.comp").alias("major"), "len")
-    tops = scratch.put(tops, "tops")
-    here = scratch.put(salted_join(named, tops, ["token"], "id", "len", n_posted).select("token", "id", "comp", "major"), "here")
-    minor = here.where("comp <> major").select("token", F.col("id").alias("i"), F.col("comp").alias("ci"))
-    across = minor.join(here, "token").where("ci <> comp and (comp = major or i < id)").select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct()
-    more = _confirm(scratch, *args, across)
-    scratch.drop(met, named, tops, here)
+    # Lists that still hold several components: pairs across components are compared.
+    named = scratch.put(met.join(labels, "id", "left").select("token", "id", F.coalesce("component", "id").alias("comp")), "named")
+    mixed = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("len")).where("x < y").select("token", "len")
+    mixed = scratch.put(mixed, "mixed")
+    short = named.join(mixed.where(F.col("len") <= SHORT), "token").select("token", "id", "comp")
+    # A pair that meets in a long list as well is among the crowded ones, so here every common coordinate is seen.
+    across = short.alias("p").join(short.alias("q"), "token").where("p.id < q.id and p.comp <> q.comp").groupBy(F.col("p.id").alias("a"), F.col("q.id").alias("b")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= COMMON).select("a", "b")
+    crowd = salted_join(named, mixed.where(F.col("len") > SHORT), ["token"], "id", "len", n_posted).select("id", "comp").distinct()
+    rare = _crowded(scratch, docs, id_col, text_col, width, percent, scratch.put(crowd, "crowd"))
+    more = _confirm(scratch, *args, across.unionAll(rare).distinct())
+    scratch.drop(met, named, mixed)
     links = edges.unionAll(more)
     labels = scratch.put(components(scratch, links), "labels")
 
@@ -252,3 +332,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = salted_join(signed.select("id", "hi", "lo", "n").where("n > 0 and id is not null"), known, ["hi", "lo", "n"], "id", "copies", total)
     out = out.select("id", "n", "component_id").unionAll(signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, that of the smallest id; all columns stay, and so do rows without an id."""
+    gone = near_duplicates(docs, id_col, text_col, width, percent).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
