@@ -45,7 +45,7 @@ def _posted(docs: DataFrame, text_col: str, windows: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = 10) -> DataFrame:
-    """(id_col, n_words, n_hit, items, contaminated), one row per row of ``docs``.
+    """(id_col, text_md5, n_words, n_hit, items, contaminated), one row per row of ``docs``.
 
     Words are lower-cased (A-Z) runs of letters, digits and non-ASCII. A word
     of a document is hit when it lies inside an occurrence of a window of
@@ -78,7 +78,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     rows = found.groupBy("__id", "__key").agg(F.max("n").alias("n"), F.count("n").alias("times"), F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
     inside = F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["s"] + x["l"] - 1)))
     out = rows.select(
-        F.col("__id").alias(id_col), F.col("n").cast("long").alias("n_words"), F.size(F.array_distinct(inside)).cast("long").alias("n_hit"),
+        F.col("__id").alias(id_col), F.col("__key").alias("text_md5"), F.col("n").cast("long").alias("n_words"), F.size(F.array_distinct(inside)).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__time"),
     ).drop("__time")
     return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows in which a benchmark window occurs; all columns stay."""
+    hit = contamination(docs, items, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("__i"), F.col("text_md5").alias("__m")).distinct()
+    key = docs[id_col].eqNullSafe(F.col("__i")) & (F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")))) == F.col("__m"))
+    return docs.join(hit, key, "left_anti")

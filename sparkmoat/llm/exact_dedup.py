@@ -69,6 +69,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """``docs`` without the rows whose text another row keeps; all columns stay."""
-    gone = exact_groups(docs, id_col, text_col, keep).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """``docs`` with one row of each group of equal texts; all its columns stay.
+
+    A row is named by id and text, null ids included. Rows that repeat the id
+    that stays are reduced to one as well; as that is rare, it is only planned
+    where such rows exist.
+    """
+    scratch = Scratch(docs.sparkSession)
+    named = exact_groups(docs, id_col, text_col, keep).select(F.col(id_col).alias("__i"), F.unhex("text_sha256").alias("__s"), "kept")
+    named = scratch.put(named, "named")
+    key = (docs[id_col].eqNullSafe(F.col("__i"))) & (F.unhex(F.sha2(normalised(docs[text_col]), 256)) == F.col("__s"))
+    left = docs.join(named.where("not kept").select("__i", "__s").distinct(), key, "left_anti")
+    again = named.where("kept").groupBy("__i", "__s").count().where("count > 1").select("__i", "__s")
+    if not again.limit(1).count():
+        return left
+    once = docs.join(again, key, "left_semi").withColumn("__s", F.sha2(normalised(text_col), 256)).dropDuplicates([id_col, "__s"]).drop("__s")
+    return left.join(again, (left[id_col].eqNullSafe(F.col("__i"))) & (F.unhex(F.sha2(normalised(left[text_col]), 256)) == F.col("__s")), "left_anti").unionAll(once)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, lattice_lm, minhash_dedup, quality, toxicity
+from . import bpe, decontaminate, exact_dedup, langid, lattice_lm, minhash_dedup, preference, quality, toxicity
 from .sampling import remainder
 
 _UPPER, _LOWER = exact_dedup.UPPER, exact_dedup.LOWER
@@ -27,6 +27,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = preference.conversations(table(spark, sf_dir, "conversations"))
+    sources = {"opening": preference.same_opening(convs), "borrowed": preference.borrowed_reply(convs)}
+    pairs = [p.select("chosen_id", "chosen", "rejected_id", "rejected", F.lit(kind).alias("kind")) for kind, p in sources.items()]
+    pairs = preference.format_pairs(pairs[0].unionAll(pairs[1]))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(c)
+    return pairs.select("kind", "chosen_id", "rejected_id", "n_prefix", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
     return done.select(
@@ -65,9 +74,41 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {"op1_quality": op1_quality, "op5_langid": op5_langid, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_toxicity": op6_toxicity, "op7_lm_score": op7_lm_score, "op8_exact_dedup": op8_exact_dedup, "op9_minhash_dedup": op9_minhash_dedup}
+QUERIES = {"op1_quality": op1_quality, "op2_preference": op2_preference, "op5_langid": op5_langid, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_toxicity": op6_toxicity, "op7_lm_score": op7_lm_score, "op8_exact_dedup": op8_exact_dedup, "op9_minhash_dedup": op9_minhash_dedup}
 
 ORACLE_SQL = {
+    "op2_preference": """
+        WITH t AS (
+            SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS i
+            FROM conversations WHERE conv_id IS NOT NULL),
+        anchors AS (SELECT role, text, min(conv_id) AS chosen_id FROM t WHERE i = 0 GROUP BY role, text HAVING count(*) > 1),
+        sizes AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+        pair AS (
+            SELECT 'opening' AS kind, a.chosen_id, t.conv_id AS rejected_id FROM t JOIN anchors a ON t.i = 0 AND a.role = t.role AND a.text = t.text WHERE t.conv_id <> a.chosen_id
+            UNION ALL SELECT 'borrowed', a.conv_id, b.conv_id FROM sizes a JOIN sizes b ON b.conv_id = a.conv_id + 1),
+        other AS (
+            SELECT p.*, t.i, t.role, t.text FROM pair p JOIN t ON t.conv_id = p.rejected_id WHERE kind = 'opening'
+            UNION ALL
+            SELECT p.*, t.i, t.role, CASE WHEN t.i = a.n - 1 THEN u.text ELSE t.text END
+            FROM pair p JOIN sizes a ON a.conv_id = p.chosen_id JOIN sizes b ON b.conv_id = p.rejected_id JOIN t ON t.conv_id = p.chosen_id JOIN t u ON u.conv_id = p.rejected_id AND u.i = b.n - 1
+            WHERE kind = 'borrowed'),
+        same AS (
+            SELECT o.kind, o.chosen_id, o.rejected_id, count(*) AS n_both, min(CASE WHEN x.role <> o.role OR x.text <> o.text THEN x.i END) AS i
+            FROM other o JOIN t x ON x.conv_id = o.chosen_id AND x.i = o.i GROUP BY ALL),
+        cut AS (SELECT kind, chosen_id, rejected_id, coalesce(i, n_both) AS n_prefix FROM same),
+        sides AS (
+            SELECT c.*, 'chosen' AS side, t.i, t.role, '<|' || t.role || '|>' || chr(10) AS head, t.text || '<|end|>' || chr(10) AS body FROM cut c JOIN t ON t.conv_id = c.chosen_id
+            UNION ALL SELECT c.*, 'rejected', o.i, o.role, '<|' || o.role || '|>' || chr(10), o.text || '<|end|>' || chr(10) FROM cut c JOIN other o USING (kind, chosen_id, rejected_id)),
+        placed AS (
+            SELECT *, sum(CASE WHEN i >= n_prefix THEN length(head) + length(body) ELSE 0 END) OVER (PARTITION BY kind, chosen_id, rejected_id, side ORDER BY i) AS e FROM sides),
+        joined AS (
+            SELECT kind, chosen_id, rejected_id, n_prefix, side, coalesce(string_agg(head || body, '' ORDER BY i) FILTER (i < n_prefix), '') AS prompt,
+                   coalesce(string_agg(head || body, '' ORDER BY i) FILTER (i >= n_prefix), '') AS rest,
+                   coalesce(string_agg((e - length(body)) || '-' || e, ',' ORDER BY i) FILTER (i >= n_prefix AND role = 'assistant'), '') AS spans
+            FROM placed GROUP BY ALL)
+        SELECT c.kind, c.chosen_id, c.rejected_id, c.n_prefix, c.prompt, c.rest AS chosen, r.rest AS rejected, c.spans AS chosen_mask, r.spans AS rejected_mask
+        FROM joined c JOIN joined r ON r.kind = c.kind AND r.chosen_id = c.chosen_id AND r.rejected_id = c.rejected_id AND c.side = 'chosen' AND r.side = 'rejected'""",
     "op4_decontaminate": f"""
         WITH t AS (
             SELECT 'd' AS k, CAST(doc_id AS VARCHAR) AS id, text FROM documents
