@@ -1,6 +1,6 @@
 """Near-duplicate linking by a signature-coordinate inverted join.
 
-Every document has K MinHash coordinates. A document is posted under
+Every document has K coordinates, pairs of MinHash values. A document is posted under
 (coordinate, value) pairs; documents that meet under at least MATCH of the K
 coordinates are candidates, and their full shingle sets decide.
 
@@ -11,8 +11,8 @@ coordinates are candidates, and their full shingle sets decide.
   component, are never merged.
 * Copies: documents with equal sets are one class, and only classes are posted.
 
-With Jaccard >= 0.8 the number of agreeing coordinates is binomial(K=64, 0.8);
-the chance of fewer than MATCH=32 is below 1e-7 a pair.
+With Jaccard >= 0.8 two documents agree on a coordinate with a chance of 0.64
+or more; the chance of fewer than MATCH=19 of K=64 is below 2e-7 a pair.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import bytehash as B
 from .scratch import Scratch, components, salted_join
 
-K, MATCH = 64, 32
+#: A coordinate is a pair of MinHash values, so unrelated texts hardly ever agree on one.
+K, MATCH = 64, 19
 #: Coordinates that two documents must have in common in their prefixes, which are longer by COMMON - 1 for that.
 COMMON = 2
 #: Bins of the count sketch: 2 MB as 64-bit counts, whatever the input.
@@ -34,8 +35,8 @@ BINS, BLOCK = 1 << 18, 1 << 12
 SHORT, CLASS = 32, 1.06
 _U = np.uint64
 _RNG = np.random.default_rng(977)
-_MULT = _RNG.integers(1, 2**63, K, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-_ADD = _RNG.integers(1, 2**63, K, dtype=np.int64).astype(_U)
+_MULT = _RNG.integers(1, 2**63, 2 * K, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+_ADD = _RNG.integers(1, 2**63, 2 * K, dtype=np.int64).astype(_U)
 _SET = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
 
 
@@ -60,7 +61,8 @@ def _signed(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
             flat = np.concatenate([sets[x] for x in full])
             at = np.concatenate([[0], np.cumsum(count[full])[:-1]])
             for k in range(K):
-                sig[full, k] = np.minimum.reduceat(flat * _MULT[k] + _ADD[k], at) >> _U(32)
+                x, y = (np.minimum.reduceat(flat * _MULT[q] + _ADD[q], at) for q in (2 * k, 2 * k + 1))
+                sig[full, k] = B.mix(x ^ B.mix(y)) >> _U(32)
             for k in range(2):
                 key[k, full] = np.add.reduceat(B.mix(flat ^ _SET[k]), at)
         n.append(count)
