@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, lattice_lm, minhash_dedup, preference, quality, toxicity
+from . import bpe, decontaminate, exact_dedup, langid, lattice_lm, minhash_dedup, paragraph_dedup, preference, quality, toxicity
 from .sampling import remainder
 
 _UPPER, _LOWER = exact_dedup.UPPER, exact_dedup.LOWER
@@ -74,7 +74,11 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_preference": op2_preference, "op5_langid": op5_langid, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_toxicity": op6_toxicity, "op7_lm_score": op7_lm_score, "op8_exact_dedup": op8_exact_dedup, "op9_minhash_dedup": op9_minhash_dedup}
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_preference": op2_preference, "op5_langid": op5_langid, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_toxicity": op6_toxicity, "op7_lm_score": op7_lm_score, "op8_exact_dedup": op8_exact_dedup, "op9_minhash_dedup": op9_minhash_dedup, "op10_paragraph_dedup": op10_paragraph_dedup}
 
 ORACLE_SQL = {
     "op2_preference": """
