@@ -29,8 +29,6 @@ from .scratch import Scratch, components, salted_join
 K, MATCH = 64, 19
 #: Coordinates that two documents must have in common in their prefixes, which are longer by COMMON - 1 for that.
 COMMON = 2
-#: Bins of the count sketch: 2 MB as 64-bit counts, whatever the input.
-BINS, BLOCK = 1 << 18, 1 << 12
 #: Lists up to this length are compared pair by pair; ratio of the size classes for longer ones.
 SHORT, CLASS = 32, 1.06
 _U = np.uint64
@@ -91,42 +89,12 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return B.mix(sig | (np.arange(K, dtype=_U) << _U(32)))
 
 
-def _bin(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> _U(40)).astype(np.int64) & (BINS - 1)
-
-
 def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Shingle sets as one array of hashes, and the size of each set."""
     raw, off = B.buffers(column)
     return np.frombuffer(raw[off[0] : off[-1]].tobytes(), dtype=_U), np.diff(off) // 8
 
 
-def sketch(rows: DataFrame, tokens) -> np.ndarray:
-    """How often each of BINS token bins occurs: a fixed-size array, summed on the executors in two levels. tokens: of the Arrow column."""
-
-    def count(batches):
-        total = np.zeros(BINS, dtype=np.int64)
-        some = False
-        for b in batches:
-            some |= b.num_rows > 0
-            total += np.bincount(_bin(tokens(b.column(0))).ravel(), minlength=BINS) if b.num_rows else 0
-        if some:
-            salt = int(total.sum()) % 64
-            yield pa.RecordBatch.from_arrays([pa.array([salt] * (BINS // BLOCK)), pa.array(range(BINS // BLOCK)), pa.array([x.tobytes() for x in total.reshape(-1, BLOCK)])], names=["salt", "block", "counts"])
-
-    def add(key, table):
-        total = sum(np.frombuffer(x, dtype=np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"block": [table.column("block")[0].as_py()], "counts": [total.tobytes()]})
-
-    parts = rows.mapInArrow(count, "salt long, block long, counts binary")
-    once = parts.groupBy("salt", "block").applyInArrow(add, "block long, counts binary")
-    sums = once.groupBy("block").applyInArrow(add, "block long, counts binary").collect()  # BINS counts in all
-    out = np.zeros((BINS // BLOCK, BLOCK), dtype=np.int64)
-    for r in sums:
-        out[r[0]] = np.frombuffer(r[1], dtype=np.int64)
-    return out.ravel()
-
-
 def postings(scratch: Scratch, reps: DataFrame) -> DataFrame:
     """(token, id): of each class its rarest coordinates that another class shares.
 
@@ -241,29 +209,32 @@ def _crowded(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, widt
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = scratch.put(_sets(texts.join(crowd.select("id"), "id", "left_semi"), width).join(crowd, "id").dropDuplicates(["id", "n"]), "crowded")
-    counts = sketch(sets.select("grams"), lambda c: _grams(c)[0])
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def each(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                flat, sizes = _grams(part.column(1))
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(ids, sizes))], names=["gram", "id"])
+
+    every = scratch.put(sets.select("id", "grams").mapInArrow(each, "gram long, id long"), "grams")
+    many = every.groupBy("gram").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
+    shared = salted_join(every, many, ["gram"], "id", "len", max(every.count(), 1))
+    ranked = shared.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("len", "gram"))).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    # Shingles that one set alone has come first in its order; they meet nothing and aren't posted.
+    ranked = ranked.join(sets.select("id", "n", "comp"), "id").select("gram", "id", "comp", "n", (F.col("n") - F.col("met") + F.col("r") - 1).alias("pos")).where(f"100 * pos <= {100 - percent} * n")
 
     def run(batches):
-        load = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                flat, sizes = _grams(part.column(2))
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                n = load[_bin(flat)]
-                order = np.lexsort((flat, n, row))
-                flat, n = flat[order], n[order]
-                pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                ids, comp = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
-                for own, other, length in _prefixes(np.maximum(sizes, 1), percent):
-                    keep = (pos < length[row]) & (n > 1)
-                    r = row[keep]
-                    pair = (np.minimum(own, other)[r] * 4096 + np.maximum(own, other)[r]).astype(_U)
-                    token = B.mix(flat[keep] + B.mix(pair + _U(1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[r]), pa.array(comp[r]), pa.array(sizes[r]), pa.array(pos[keep]), pa.array(own[r])], names=["token", "id", "comp", "n", "pos", "z"])
-
-    posted = scratch.put(sets.select("id", "n", "grams", "comp").mapInArrow(run, "token long, id long, comp long, n long, pos long, z long"), "rare")
+            gram, ids, comp, n, pos = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            for own, other, length in _prefixes(n, percent):
+                k = np.flatnonzero(pos < length)
+                pair = (np.minimum(own, other)[k] * 4096 + np.maximum(own, other)[k]).astype(_U)
+                token = B.mix(gram[k].view(_U) + B.mix(pair + _U(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *(pa.array(x[k]) for x in (ids, comp, n, pos))], names=["token", "id", "comp", "n", "pos"])
+
+    posted = scratch.put(ranked.mapInArrow(run, "token long, id long, comp long, n long, pos long"), "rare")
     per = posted.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
     tops = per.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("t"), F.sum("size").alias("len"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     tops = scratch.put(tops.select("token", F.col("t.comp").alias("major"), "len"), "tops")
@@ -272,7 +243,7 @@ def _crowded(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, widt
     need = f"ceil({percent} * (n + n2) / {100 + percent}D - 1e-9)"
     pairs = minor.join(here, "token").where(f"comp <> comp2 and (comp = major or id2 < id) and 100 * least(n, n2) >= {percent} * greatest(n, n2) and least(n - pos, n2 - pos2) >= {need}")
     pairs = scratch.put(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "rare-pairs")
-    scratch.drop(sets, posted, tops, here)
+    scratch.drop(sets, every, posted, tops, here)
     return pairs
 
 
