@@ -64,16 +64,17 @@ class Redactor:
 
     catalog: SecretCatalog = BUILTIN
     max_chars: int = MAX_INPUT_CHARS
-    tail: str = ""  # not released yet, with up to ``before`` characters in front that are
-    before: int = 0
+    tail: str = ""  # the end of what has come, with CONTEXT characters in front of ``seen``
     at: int = 0  # place of the tail's first character in the whole text
+    seen: int = 0  # matches that start before this place have been dealt with
+    sent: int = 0  # what stands before this place has left, or its marker has
     found: list[tuple[str, int, int]] = field(default_factory=list)
     counts: dict[str, int] = field(default_factory=dict)
     open_end: int = 0  # a redaction reaches this place
     swallow: bool = False
     state: str = "open"
 
-    def _matches(self, text: str, final: bool):
+    def _matches(self, text: str):
         cards = ((m.start(), m.end(), "pii.payment_card", is_card(m.group())) for m in CARD.finditer(text))
         secrets = ((m.start(), m.end(), "secrets.detected", True) for m in secret_pattern(self.catalog).finditer(text))
         return sorted([*cards, *secrets])
@@ -108,44 +109,42 @@ class Redactor:
         return max(0, min(k, len(text) - HOLD - longest))
 
     def _release(self, final: bool) -> str:
-        text = self.tail
+        text, at = self.tail, self.at
         safe = len(text) if final else self._unsettled(text)
-        cuts = []
-        for start, end, rule, real in self._matches(text, final):
-            if start < self.before:
+        settled = []
+        for start, end, rule, real in self._matches(text):
+            if at + start < self.seen:
                 continue
-            if start >= safe or end > safe:
+            if end > safe:
                 safe = min(safe, start)
                 break
-            cuts.append((start, end, rule, real))
-        if not final and safe <= self.before:
-            return ""
-        out, pos = [], self.before
-        for start, end, rule, real in cuts:
-            if self.swallow:
+            settled.append((at + start, at + end, rule, real))
+        safe = max(at + safe, self.seen)
+        out = []
+        for start, end, rule, real in settled:
+            if self.swallow or start >= safe:
                 break
-            n = self.counts.get(rule, 0)
-            limit = CARDS if rule == "pii.payment_card" else SECRETS
-            over = n >= limit
-            self.counts[rule] = n + 1
-            if not over and not real:
+            self.counts[rule] = n = self.counts.get(rule, 0) + 1
+            self.swallow = n > (CARDS if rule == "pii.payment_card" else SECRETS)
+            if not (real or self.swallow):
                 continue
-            if over:
-                end = len(text)
-                self.swallow = True
-            self.found.append((rule, self.at + start, self.at + end))
-            if self.at + start > self.open_end or not self.open_end:
-                out.append(text[pos:start] if start > pos else "")
+            end = at + len(text) if self.swallow else end
+            self.found.append((rule, start, end))
+            if start > self.sent:
+                out.append(text[self.sent - at : start - at])
+            if not self.open_end or start > self.open_end:
                 out.append(MARKER)
-            self.open_end = max(self.open_end, self.at + end)
-            pos = max(pos, end)
-        if not self.swallow and safe > pos:
-            out.append(text[pos:safe])
-        if self.swallow and self.found:
+            self.open_end = max(self.open_end, end)
+            self.sent = max(self.sent, end)
+        if self.swallow:
             rule, start, _ = self.found[-1]
-            self.found[-1] = (rule, start, self.at + len(text))
-        keep = max(0, safe - CONTEXT)
-        self.tail, self.before, self.at = text[keep:], safe - keep, self.at + keep
+            self.found[-1], self.sent = (rule, start, at + len(text)), at + len(text)
+        elif safe > self.sent:
+            out.append(text[self.sent - at : safe - at])
+            self.sent = safe
+        self.seen = safe
+        keep = max(0, safe - at - CONTEXT)
+        self.tail, self.at = text[keep:], at + keep
         return "".join(out)
 
 
