@@ -54,9 +54,16 @@ def secrets(text: Column, catalog: SecretCatalog) -> Column:
                        {"reason": "candidate_limit_exceeded", "limit": str(SECRETS), "detector": "well_known_prefix", **CHARS})
         return F.concat(F.transform(F.slice(c, 1, SECRETS), hit), F.when(F.size(c) > SECRETS, F.array(over)).otherwise(none()))
 
+    # Prefixes that end in the same punctuation are looked for only where that is.
+    ends: dict[str, list[str]] = {}
+    for p in sorted({p for p, _ in known}):
+        ends.setdefault("" if p[-1].isalnum() else p[-1], []).append(p)
     guard = F.lit(False)
-    for p in {p for p, _ in known}:
-        guard = guard | F.contains(text, F.lit(p))
+    for end, prefixes in ends.items():
+        some = F.lit(False)
+        for p in prefixes:
+            some = some | F.contains(text, F.lit(p))
+        guard = guard | ((F.contains(text, F.lit(end)) & some) if end else some)
     return F.when(guard, let(candidates(text, "|".join(parts), SECRETS), body)).otherwise(none())
 
 

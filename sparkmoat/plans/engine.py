@@ -109,8 +109,8 @@ def _scoped(scope: Column, scopes: tuple[str, ...], text: Column, rule: Callable
     return F.when(scope.isin(*scopes), rule(text)).otherwise(S.none())
 
 
-def _canonical(config: Config, text: Column, scope: Column) -> list[Column]:
-    return [_scoped(scope, config.rules[r][0], text, f) for r, (f, _) in CANONICAL.items() if r in config.rules]
+def _canonical(config: Config, text: Column, scope: Column, guard: Column | None = None) -> list[Column]:
+    return [_scoped(scope, config.rules[r][0], text, lambda t, f=f: f(t, guard)) for r, (f, _) in CANONICAL.items() if r in config.rules]
 
 
 def _columns(config: Config, text: Column, scope: Column) -> list[Column]:
@@ -139,16 +139,16 @@ def _usable(df: DataFrame, config: Config) -> DataFrame:
     ok = F.col("text").isNotNull() & (F.length("text") <= config.max_input_chars)
     if "prompt_context" in df.columns:
         ok = ok & (F.col("prompt_context").isNull() | (F.col("scope") == "output"))
-    return df.withColumn("__ok", ok).withColumn("__norm", F.when(ok, S.normalized(F.col("text")))).withColumn("__crlf", S.crlf_places(F.coalesce("text", F.lit(""))))
+    return df.withColumn("__ok", ok).withColumn("__norm", F.when(ok, S.normalized(F.col("text")))).withColumn("__crlf", S.crlf_places(F.coalesce("text", F.lit("")))).withColumn("__odd", catalyst.hidden(F.col("__norm")))
 
 
 def scan(df: DataFrame, config: Config) -> DataFrame:
     """``df`` (doc_id, text, scope) with ``findings``: what the rules recommend, in the original text's positions. Null and over-long texts have none."""
     x = _usable(df, config)
     text, scope = F.col("__norm"), F.col("scope")
-    x = x.withColumn("__p", _joined(_python(config, text, scope))).withColumn("__c", _joined([*_canonical(config, text, scope), *_columns(config, text, scope)]))
+    x = x.withColumn("__p", _joined(_python(config, text, scope))).withColumn("__c", _joined([*_canonical(config, text, scope, F.col("__odd")), *_columns(config, text, scope)]))
     x = x.withColumn("findings", F.when(F.col("__ok"), S.ordered(S.to_original(F.concat("__c", "__p"), F.col("__crlf")))).otherwise(S.none()))
-    return x.drop("__ok", "__norm", "__crlf", "__p", "__c")
+    return x.drop("__ok", "__norm", "__crlf", "__odd", "__p", "__c")
 
 
 def redact_recommended(df: DataFrame, config: Config) -> DataFrame:
@@ -183,7 +183,7 @@ def inspect(df: DataFrame, config: Config) -> DataFrame:
     broad = policy.can_remove(set(config.rules) - set(CANONICAL)) or (config.banned is not None and any(x.action == "remove" for x in config.banned.literals))
     x = _usable(df, config)
     norm = F.col("__norm")
-    first = [*_canonical(config, norm, scope)]
+    first = [*_canonical(config, norm, scope, F.col("__odd"))]
     if broad:
         x = x.withColumn("__p0", _joined(_python(config, norm, scope)))
         first += [*_columns(config, norm, scope), F.col("__p0")]
@@ -194,7 +194,7 @@ def inspect(df: DataFrame, config: Config) -> DataFrame:
     clean = F.col("__clean")
     seen = F.when(F.col("__again"), clean) if broad else clean
     x = x.withColumn("__p", _joined(_python(config, seen, scope)))
-    x = x.withColumn("__second", effective(F.concat(_joined(_columns(config, seen, scope)), F.col("__p"), F.when(F.col("__again"), _joined(_canonical(config, clean, scope))).otherwise(S.none())), scope, policy))
+    x = x.withColumn("__second", effective(F.concat(_joined(_columns(config, seen, scope)), F.col("__p"), F.when(F.col("__again"), _joined(_canonical(config, clean, scope, F.col("__odd")))).otherwise(S.none())), scope, policy))
     removed = F.filter("__first", lambda f: f["action"] == "remove")
     both = F.when(F.col("__again"), F.concat(removed, _back(F.col("__second"), _cuts(F.col("__gone"))))).otherwise(F.concat("__first", "__second"))
     x = x.withColumn("findings", F.when(F.col("__ok"), S.ordered(S.to_original(both, F.col("__crlf")))).otherwise(S.none()))
