@@ -96,7 +96,7 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(scratch: Scratch, reps: DataFrame) -> DataFrame:
-    """(token, id): of each class its rarest coordinates that another class shares.
+    """(token, id, alone): of each class its rarest coordinates that another class shares; alone counts those that none shares.
 
     Coordinates are ordered by the exact number of classes that have them. The
     first K - MATCH + COMMON are the prefix; those that one class alone has
@@ -115,7 +115,7 @@ def postings(scratch: Scratch, reps: DataFrame) -> DataFrame:
     shared = salted_join(every, sizes, ["token"], "id", "len", every.count())
     order = Window.partitionBy("id").orderBy("len", "token")
     ranked = shared.withColumn("r", F.row_number().over(order)).withColumn("alone", K - F.count(F.lit(1)).over(Window.partitionBy("id")))
-    posted = scratch.put(ranked.where(F.col("r") + F.col("alone") <= K - MATCH + COMMON).select("token", "id"), "posted")
+    posted = scratch.put(ranked.where(F.col("r") + F.col("alone") <= K - MATCH + COMMON).select("token", "id", "alone"), "posted")
     scratch.drop(every)
     return posted
 
@@ -257,8 +257,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its component_id.
 
     How pairs are avoided inside large groups: equal sets are one class. Each
-    class is first compared with one hub, the smallest member of the list in
-    which it meets it most often; confirmed links give components. Then only
+    class is first compared with one hub, the member with most in common with
+    others of the list, and that of its hubs that it meets most often; confirmed links give components. Then only
     pairs from different components that still share a list are compared, in
     long lists only those that also share a rare shingle where they must. So a
     group of near copies costs pairs in proportion to its size, and no link
@@ -275,7 +275,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.put(real.groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = scratch.put(signed.join(classes.select("hi", "lo", "n", F.col("rep").alias("id")), ["hi", "lo", "n", "id"], "left_semi").select("id", "n", "sig").dropDuplicates(["id", "n"]), "reps")
     posted = postings(scratch, reps)
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("len"), F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
+    # The hub is the member with most in common with others: in a group of near copies that is the one with the fewest changes.
+    common = F.shiftleft(F.col("alone").cast("long"), 40) + F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("len"), F.min_by("id", common).alias("hub"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     n_posted = posted.count()
     met = scratch.put(salted_join(posted, lists.select("token", "len", "hub"), ["token"], "id", "len", n_posted).select("token", "id", "hub", "len"), "met")
     scratch.drop(posted)
