@@ -24,9 +24,9 @@ from .scratch import Scratch
 START = "▁".encode()
 #: Most words whose counts are sent to every executor; the others are joined.
 FREQUENT = 1 << 17
-#: Words remembered by a task, words of one lattice batch, bytes of a word up to which words are handled together.
+#: Words counted together in a task, words of one lattice batch, bytes of a word up to which words are handled together.
 REMEMBERED, TOGETHER, SHORT = 200_000, 20_000, 48
-ROUNDS, SMOOTH = 2, 0.05
+SMOOTH = 0.05
 _U = np.uint64
 
 
@@ -68,10 +68,13 @@ class Lattice:
         sizes = np.array([len(p) for p in vocabulary.pieces])
         ends = np.cumsum(sizes)
         h = B.span_hashes(B.prefix_sums(flat), ends - sizes, ends)
-        order = np.argsort(h)
-        self.hashes, self.ids = h[order], order.astype(np.int32)
-        self.maybe = np.zeros(1 << 22, dtype=bool)
-        self.maybe[h >> _U(42)] = True
+        self.hashes, self.slots = h, np.full(1 << 22, -1, dtype=np.int32)
+        self.slots[h >> _U(42)] = np.arange(len(h))
+        # Pieces whose slot another one took.
+        self.others = np.flatnonzero(self.slots[h >> _U(42)] != np.arange(len(h)))
+        self.others = self.others[np.argsort(h[self.others])]
+        self.shared = np.zeros(1 << 22, dtype=bool)
+        self.shared[h[self.others] >> _U(42)] = True
         self.lengths = [x for x in np.unique(sizes).tolist()]
 
     def edges(self, words: np.ndarray):
@@ -84,10 +87,13 @@ class Lattice:
             if size > n:
                 break
             h = B.mix((c[:, size:] - c[:, :-size]) * inv[: n - size + 1] + _U(size))
-            found = np.full(h.shape, -1, dtype=np.int32)
-            at = np.nonzero(self.maybe[h >> _U(42)])
-            k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-            found[at] = np.where(self.hashes[k] == h[at], self.ids[k], -1)
+            slot = h >> _U(42)
+            found = self.slots[slot]
+            wrong = self.hashes[found] != h
+            found[wrong] = -1
+            if len(self.others) and (again := wrong & self.shared[slot]).any():
+                k = np.minimum(np.searchsorted(self.hashes[self.others], h[again]), len(self.others) - 1)
+                found[again] = np.where(self.hashes[self.others[k]] == h[again], self.others[k], -1)
             yield size, found
 
     def _paths(self, edges, m: int, n: int, backward: bool = False) -> np.ndarray:
@@ -97,7 +103,12 @@ class Lattice:
         weights = [(size, np.where(ids >= 0, self.logp[ids], -np.inf)) for size, ids in edges]
         for j in range(n - 1, -1, -1) if backward else range(1, n + 1):
             parts = [w[:, j] + out[:, j + s] for s, w in weights if j + s <= n] if backward else [w[:, j - s] + out[:, j - s] for s, w in weights if s <= j]
-            out[:, j] = np.logaddexp.reduce(parts, axis=0)
+            # Log of the sum of exponentials; a single byte always fits, so the largest is finite.
+            stacked = np.stack(parts)
+            most = stacked.max(axis=0)
+            stacked -= most
+            np.exp(stacked, out=stacked)
+            out[:, j] = most + np.log(stacked.sum(axis=0))
         return out
 
     def _long(self, word: bytes, expected: np.ndarray | None = None, count: float = 0.0) -> float:
@@ -173,27 +184,37 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def learn(counts: DataFrame, ends: int, start: Pieces, rounds: int = ROUNDS) -> Pieces:
-    """Piece probabilities that fit the word counts, by expectation-maximisation. Only one number a piece is sent back."""
-    now = start
-    for _ in range(rounds):
-        shared = counts.sparkSession.sparkContext.broadcast(now)
+def _fitted(pieces: Pieces, expected: np.ndarray, ends: float) -> Pieces:
+    expected = expected + SMOOTH
+    expected[-1] = ends + SMOOTH
+    return Pieces(pieces.pieces, np.log(expected / expected.sum()))
 
-        def run(batches, shared=shared):
-            lattice = shared.value.prepare()
-            total = np.zeros(len(lattice.logp))
-            for b in batches:
-                total += lattice.score(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_numpy().astype(float))
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "e"])
 
-        expected = np.zeros(len(now.logp))
-        for r in counts.select("word", "c").mapInArrow(run, "piece long, e double").groupBy("piece").agg(F.sum("e")).collect():
-            expected[r[0]] = r[1]
-        expected += SMOOTH
-        expected[-1] = ends + SMOOTH
-        now = Pieces(now.pieces, np.log(expected / expected.sum()))
-    return now
+def learn(counts: DataFrame, frequent: dict[bytes, int], ends: int, start: Pieces) -> Pieces:
+    """Piece probabilities that fit the word counts, by expectation-maximisation.
+
+    The first round is over the frequent words, of which there is a fixed
+    number, on the driver; the second is over all words on the executors, and
+    one number a piece is sent back.
+    """
+    words = [*frequent]
+    share = sum(frequent.values())
+    first = start.prepare().score(words, np.array([*frequent.values()], dtype=float)) if words else np.exp(start.logp)
+    now = _fitted(start, first, ends if share else 1.0)
+    shared = counts.sparkSession.sparkContext.broadcast(now)
+
+    def run(batches):
+        lattice = shared.value.prepare()
+        total = np.zeros(len(lattice.logp))
+        for b in batches:
+            total += lattice.score(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_numpy().astype(float))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "e"])
+
+    expected = np.zeros(len(now.logp))
+    for r in counts.select("word", "c").mapInArrow(run, "piece long, e double").groupBy("piece").agg(F.sum("e")).collect():
+        expected[r[0]] = r[1]
+    return _fitted(now, expected, ends)
 
 
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, int]:
@@ -236,16 +257,18 @@ def score(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
     said, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_all, v_all = said + ends, distinct + (ends > 0)
     den = n_all + 0.1 * (v_all + 1)
-    model = learn(counts, ends, pieces)
-    shared = spark.sparkContext.broadcast((model, frequent_words(counts)))
-    dtype = dict(docs.select(id_col).dtypes)[id_col]
+    common = frequent_words(counts)
+    model = learn(counts, common, ends, pieces)
     log10 = 1 / np.log(10)
+    lattice_of = model.prepare().score([*common]) * log10
+    ready = {w: (float(np.log10((c + 0.1) / den)), x) for (w, c), x in zip(common.items(), lattice_of.tolist())}
+    shared = spark.sparkContext.broadcast((model, ready))
+    dtype = dict(docs.select(id_col).dtypes)[id_col]
 
     def run(batches):
-        model, known = shared.value
-        lattice, memory = model.prepare(), {}
+        model, ready = shared.value
+        lattice, get = model.prepare(), ready.get
         end_base, end_score = np.log10((ends + 0.1) / den), model.logp[-1] * log10
-        base_of = {w: np.log10((c + 0.1) / den) for w, c in known.items()}
         for b in batches:
             raw_sizes = b.column(3).to_numpy()
             at = 0
@@ -255,29 +278,28 @@ def score(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
                     held += int(raw_sizes[end])
                     end += 1
                 tallies = [Counter(words) for words in _texts(b.column(2).slice(at, end - at))]
-                if len(memory) > REMEMBERED:
-                    memory.clear()
-                new = [*(set().union(*tallies) - memory.keys())]
-                memory.update(zip(new, (lattice.score(new) * log10).tolist()))
-                out: dict[str, list] = {k: [] for k in ("id", "key", "word", "tf", "n", "known", "base", "score", "row")}
-                ids, keys = b.column(0).slice(at, end - at).to_pylist(), b.column(1).slice(at, end - at).to_pylist()
-                for i, key, tally in zip(ids, keys, tallies):
-                    n, hit, base, total = 1, int(ends > 0), end_base, end_score
-                    for w, tf in tally.items():
-                        n += tf
-                        total += tf * memory[w]
-                        if (p := base_of.get(w)) is not None:
-                            hit += tf
-                            base += tf * p
-                        else:
-                            for name, value in zip(out, (i, key, w, tf, 0, 0, 0.0, 0.0, 0)):
-                                out[name].append(value)
-                    for name, value in zip(out, (i, key, f" {key}".encode(), 0, n, hit, base, total, 1)):
-                        out[name].append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["id"], b.schema.field(0).type), pa.array(out["key"], pa.int64()), pa.array(out["word"], pa.binary()).cast(pa.string()), *(pa.array(out[k], pa.int64()) for k in ("tf", "n", "known")), *(pa.array(out[k], pa.float64()) for k in ("base", "score")), pa.array(out["row"], pa.int64())],
-                    names=["__id", "key", "word", "tf", "n", "known", "base", "score", "row"],
-                )
+                new = [w for w in set().union(*tallies) if w not in ready]
+                rare_score = dict(zip(new, (lattice.score(new) * log10).tolist())) if new else {}
+                known, base, total, rare, n_rare = [], [], [], [], []
+                for tally in tallies:
+                    logs = [*map(get, tally)]
+                    tf = tally.values()
+                    seen = [(n, p) for n, p in zip(tf, logs) if p is not None]
+                    left = [x for x, p in zip(tally, logs) if p is None]
+                    known.append(int(ends > 0) + sum([n for n, _ in seen]))
+                    base.append(end_base + sum([n * p[0] for n, p in seen]))
+                    total.append(end_score + sum([n * p[1] for n, p in seen]) + sum([tally[w] * rare_score[w] for w in left]))
+                    rare += left
+                    n_rare.append(len(left))
+                tokens = [1 + t.total() for t in tallies]
+                ids, keys = b.column(0).slice(at, end - at), b.column(1).slice(at, end - at)
+                owner = np.repeat(np.arange(end - at), n_rare)
+                counts_of = pa.array([tallies[i][w] for i, w in zip(owner.tolist(), rare)], pa.int64())
+                own = pa.array([f" {k}" for k in keys.to_pylist()], pa.string())
+                for m, columns in ((end - at, (ids, keys, own, 0, tokens, known, base, total, 1)), (len(rare), (ids.take(pa.array(owner)), keys.take(pa.array(owner)), pa.array(rare, pa.binary()).cast(pa.string()), counts_of, 0, 0, 0.0, 0.0, 0))):
+                    kinds = (None, None, None, *[pa.int64()] * 3, *[pa.float64()] * 2, pa.int64())
+                    arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) if isinstance(c, list) else pa.array(np.full(m, c), t) for c, t in zip(columns, kinds)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["__id", "key", "word", "tf", "n", "known", "base", "score", "row"])
                 at = end
 
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"))
