@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from . import bytehash as B
 from .scratch import Scratch, components, salted_join
 
-WIDTH, WINDOW, SPAN = 5, 24, 12
-#: Bits of the filter that tells executors which anchors repeat: 4 MB whatever the input. Full, it lets more through; a join follows.
+WIDTH, WINDOW, SPAN = 5, 24, 20
+#: Bits of the filter that tells executors which anchors repeat: 4 MB whatever the input. Full, it lets more through, and more paragraphs are compared.
 FILTER = 1 << 25
 _U = np.uint64
 _RNG = np.random.default_rng(4099)
@@ -114,7 +114,7 @@ def _filter(repeated: DataFrame) -> np.ndarray:
 
 
 def _paragraphs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(anchor, id, pos, para, grams): the paragraphs at anchors that the filter lets through; para is a hash of the whole window, grams its shingles as 32-bit values."""
+    """(id, pos, para, grams): the paragraphs at anchors that the filter lets through; para is a hash of the whole window, grams its shingles as 32-bit values."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -134,11 +134,11 @@ def _paragraphs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                     para = B.mix(para * _U(0x9E3779B97F4A7C15) + c)
                 grams = (rows >> _U(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s[p].view(np.int64)), pa.array(np.full(len(p), ids[r], dtype=np.int64)), pa.array(p.astype(np.int32)), pa.array(para.view(np.int64)), pa.array([g.tobytes() for g in grams], pa.binary())],
-                    names=["anchor", "id", "pos", "para", "grams"],
+                    [pa.array(np.full(len(p), ids[r], dtype=np.int64)), pa.array(p.astype(np.int32)), pa.array(para.view(np.int64)), pa.array([g.tobytes() for g in grams], pa.binary())],
+                    names=["id", "pos", "para", "grams"],
                 )
 
-    return docs.mapInArrow(run, "anchor long, id long, pos int, para long, grams binary")
+    return docs.mapInArrow(run, "id long, pos int, para long, grams binary")
 
 
 def _grams(column: pa.Array) -> np.ndarray:
@@ -200,16 +200,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     scratch = Scratch(docs.sparkSession)
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    repeated = _anchor_rows(base).groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("anchor", "n")
+    repeated = _anchor_rows(base).groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("anchor")
     repeated = scratch.put(repeated, "anchors")
-    made = scratch.put(_paragraphs(base, _filter(repeated)), "made")
-    total = max(made.count(), 1)
-    # What the filter let through by chance goes; a hot anchor's rows are many, so its lookup is salted.
-    paras = scratch.put(salted_join(made, repeated, ["anchor"], "id", "n", total).select("id", "pos", "para", "grams"), "paras")
-    scratch.drop(made, repeated)
-    classes = paras.groupBy("para").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
-    grams = paras.groupBy("para").agg(F.first("grams").alias("grams"))
-    classes = scratch.put(classes.join(grams, "para"), "classes")
+    paras = scratch.put(_paragraphs(base, _filter(repeated)), "paras")
+    scratch.drop(repeated)
+    total = max(paras.count(), 1)
+    # A few anchors pass the filter by chance; their paragraphs are classes of one document, which come to nothing.
+    classes = paras.groupBy("para").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"), F.first("grams").alias("grams"))
+    classes = scratch.put(classes, "classes")
 
     banded = scratch.put(_bands(classes, percent, rows), "banded")
     n_banded = max(banded.count(), 1)

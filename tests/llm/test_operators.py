@@ -376,7 +376,7 @@ def test_passages(spark, awkward):
 
 def test_passages_documents(documents):
     got = {r.doc_id for r in paragraph_dedup.repeated_passages(documents).collect()}
-    runs = {24: set(), 40: set()}
+    runs = {24: set(), 48: set()}
     for n, found in runs.items():
         seen = {}
         for r in documents.select("doc_id", "text").collect():
@@ -385,7 +385,7 @@ def test_passages_documents(documents):
                 first = seen.setdefault(tuple(w[k : k + n]), r.doc_id)
                 if first != r.doc_id:
                     found |= {first, r.doc_id}
-    assert runs[40] <= got
+    assert runs[48] <= got
     assert len(got - runs[24]) <= 0.05 * len(got)  # what is only similar, not equal
 
 
