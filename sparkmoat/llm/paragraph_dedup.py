@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import bytehash as B
 from .scratch import Scratch, components, salted_join
 
-WIDTH, WINDOW, SPAN = 5, 24, 20
+WIDTH, WINDOW, SPAN = 5, 24, 12
 #: Bits of the filter that tells executors which anchors repeat: 4 MB whatever the input. Full, it lets more through, and more paragraphs are compared.
 FILTER = 1 << 25
 _U = np.uint64
@@ -175,12 +175,15 @@ def _similar(scratch: Scratch, pairs: DataFrame, classes: DataFrame, percent: in
 
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(_grams(b.column(2)), _grams(b.column(3))):
-                x, y = np.unique(x), np.unique(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                x, y = np.sort(_grams(part.column(2)), axis=1), np.sort(_grams(part.column(3)), axis=1)
+                # Of equal shingles in one set the first counts.
+                new_x, new_y = (np.concatenate([np.ones((len(g), 1), bool), g[:, 1:] != g[:, :-1]], axis=1) for g in (x, y))
+                both = np.zeros(len(x), dtype=np.int64)
+                for k in range(x.shape[1]):
+                    both += new_x[:, k] & (y == x[:, k : k + 1]).any(axis=1)
+                yield part.filter(pa.array(100 * both >= percent * (new_x.sum(axis=1) + new_y.sum(axis=1) - both))).select([0, 1])
 
     return scratch.put(out.select("a", "b", "g_a", "g_b").mapInArrow(run, "a long, b long"), "links")
 
