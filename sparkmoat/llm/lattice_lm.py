@@ -26,7 +26,7 @@ START = "▁".encode()
 FREQUENT = 1 << 17
 #: Words counted together in a task, words of one lattice batch, bytes of a word up to which words are handled together.
 REMEMBERED, TOGETHER, SHORT = 200_000, 20_000, 48
-SMOOTH = 0.05
+ROUNDS, SMOOTH = 2, 0.05
 _U = np.uint64
 
 
@@ -190,31 +190,25 @@ def _fitted(pieces: Pieces, expected: np.ndarray, ends: float) -> Pieces:
     return Pieces(pieces.pieces, np.log(expected / expected.sum()))
 
 
-def learn(counts: DataFrame, frequent: dict[bytes, int], ends: int, start: Pieces) -> Pieces:
-    """Piece probabilities that fit the word counts, by expectation-maximisation.
+def learn(counts: DataFrame, ends: int, start: Pieces, rounds: int = ROUNDS) -> Pieces:
+    """Piece probabilities that fit the word counts, by expectation-maximisation. Every round covers all words; one number a piece is sent back."""
+    now = start
+    for _ in range(rounds):
+        shared = counts.sparkSession.sparkContext.broadcast(now)
 
-    The first round is over the frequent words, of which there is a fixed
-    number, on the driver; the second is over all words on the executors, and
-    one number a piece is sent back.
-    """
-    words = [*frequent]
-    share = sum(frequent.values())
-    first = start.prepare().score(words, np.array([*frequent.values()], dtype=float)) if words else np.exp(start.logp)
-    now = _fitted(start, first, ends if share else 1.0)
-    shared = counts.sparkSession.sparkContext.broadcast(now)
-
-    def run(batches):
-        lattice = shared.value.prepare()
-        total = np.zeros(len(lattice.logp))
-        for b in batches:
-            total += lattice.score(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_numpy().astype(float))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "e"])
+        def run(batches, shared=shared):
+            lattice = shared.value.prepare()
+            total = np.zeros(len(lattice.logp))
+            for b in batches:
+                total += lattice.score(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_numpy().astype(float))
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "e"])
 
-    expected = np.zeros(len(now.logp))
-    for r in counts.select("word", "c").mapInArrow(run, "piece long, e double").groupBy("piece").agg(F.sum("e")).collect():
-        expected[r[0]] = r[1]
-    return _fitted(now, expected, ends)
+        expected = np.zeros(len(now.logp))
+        for r in counts.select("word", "c").mapInArrow(run, "piece long, e double").groupBy("piece").agg(F.sum("e")).collect():
+            expected[r[0]] = r[1]
+        now = _fitted(now, expected, ends)
+    return now
 
 
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, int]:
@@ -258,7 +252,7 @@ def score(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
     n_all, v_all = said + ends, distinct + (ends > 0)
     den = n_all + 0.1 * (v_all + 1)
     common = frequent_words(counts)
-    model = learn(counts, common, ends, pieces)
+    model = learn(counts, ends, pieces)
     log10 = 1 / np.log(10)
     lattice_of = model.prepare().score([*common]) * log10
     ready = {w: (float(np.log10((c + 0.1) / den)), x) for (w, c), x in zip(common.items(), lattice_of.tolist())}
