@@ -1,13 +1,16 @@
 """Repeated passages by paragraph MinHash banding.
 
-Texts here run on, and a passage that was copied into a text starts and ends
-anywhere. So a paragraph is a window of WINDOW words that starts at an anchor,
-and anchors depend on the words alone: of every SPAN successive five-word
-shingles the one with the smallest hash is an anchor. Two texts that share a
-passage of WINDOW + SPAN + 4 words or more share a whole window.
-
-1. Anchors that occur in one document only can't start a repeated paragraph:
-   anchors are counted, and paragraphs are made at the others.
+A paragraph is what stands between two line breaks (the whole text, if there
+are none), at its real length.
+
+A passage that was copied into a text may start and end anywhere, too. So there
+are also windows of WINDOW words that start at an anchor, and anchors depend on
+the words alone: of every SPAN successive five-word shingles the one with the
+smallest hash is an anchor. Two texts that share a passage of WINDOW + SPAN + 4
+words or more share a whole window.
+
+1. Anchors that occur in one document only can't start a repeated window:
+   anchors are counted, and windows are made at the others.
 2. Equal paragraphs are one class. Classes are banded by MinHash, classes that
    collide are compared by exact Jaccard similarity of their shingle sets.
 3. Components of similar classes that reach several documents are repeated
@@ -55,25 +58,51 @@ def anchors(s: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_sliding(np.concatenate([edge, low, edge]), SPAN, np.maximum) == s)
 
 
-def _documents(column: pa.Array):
-    """(row, its shingle hashes, places of its anchors that start a whole paragraph)."""
+def _shingled(column: pa.Array):
+    """(first row, shingle hashes of some rows, first word of each of them (n + 1), first word of each of their newline paragraphs (m + 1), its row)."""
     raw, off = B.buffers(column)
     for i, j in B.slices(off):
-        h, at = B.hash_words(raw, off, i, j, sep=B.PUNCT)
-        if len(h) < WINDOW:
+        a, b = off[i], off[j]
+        cut = np.unique(np.concatenate([off[i : j + 1], a + np.flatnonzero(raw[a:b] == 10)]))
+        if len(cut) < 2:
             continue
-        every = B.shingle(h, WIDTH)
-        for k in np.flatnonzero(np.diff(at) >= WINDOW):
-            s = every[at[k] : at[k + 1] - WIDTH + 1]
-            place = anchors(s)
-            yield i + k, s, place[place + WINDOW <= at[k + 1] - at[k]]
+        parts = [B.hash_words(raw, cut, p, q, sep=B.PUNCT) for p, q in B.slices(cut)]
+        h = np.concatenate([x for x, _ in parts])
+        if len(h) < WIDTH:
+            continue
+        before = np.cumsum([0, *(len(x) for x, _ in parts)])
+        line = np.concatenate([*(at[:-1] + n for (_, at), n in zip(parts, before)), before[-1:]])
+        yield i, B.shingle(h, WIDTH), line[np.searchsorted(cut, off[i : j + 1])], line, np.searchsorted(off[i : j + 1], cut[:-1], side="right") - 1
+
+
+def _windows(i: int, every: np.ndarray, at: np.ndarray):
+    """(row, its shingle hashes, places of its anchors that start a whole window)."""
+    for k in np.flatnonzero(np.diff(at) >= WINDOW):
+        s = every[at[k] : at[k + 1] - WIDTH + 1]
+        place = anchors(s)
+        yield i + k, s, place[place + WINDOW <= at[k + 1] - at[k]]
+
+
+def _lines(every: np.ndarray, at: np.ndarray, line: np.ndarray, row: np.ndarray, shortest: int):
+    """(row, first word in it, number of words, hash of all words) of the newline paragraphs of ``shortest`` words or more, and their shingles in one array."""
+    size = np.diff(line)
+    keep = np.flatnonzero(size >= max(shortest, WIDTH))
+    row, start, size = row[keep], line[keep], size[keep]
+    n = size - WIDTH + 1
+    first = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(first, n)
+    s = every[np.repeat(start, n) + place]
+    para = np.zeros(0, dtype=_U)
+    if len(s):
+        para = B.mix(np.add.reduceat(B.mix(s + place.astype(_U) * _U(0x9E3779B97F4A7C15)), first) + n.astype(_U))
+    return row, start - at[row], size, para, s
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            found = [(ids[r], np.unique(s[p])) for r, s, p in _documents(b.column(1)) if len(p)]
+            found = [(ids[r], np.unique(s[p])) for i, every, at, *_ in _shingled(b.column(1)) for r, s, p in _windows(i, every, at) if len(p)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a for _, a in found]).view(np.int64)), pa.array(np.repeat([x for x, _ in found], [len(a) for _, a in found]))], names=["anchor", "id"])
 
@@ -113,8 +142,8 @@ def _filter(repeated: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _paragraphs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(id, pos, para, grams): the paragraphs at anchors that the filter lets through; para is a hash of the whole window, grams its shingles as 32-bit values."""
+def _paragraphs(docs: DataFrame, bits: np.ndarray, shortest: int) -> DataFrame:
+    """(id, pos, len, para, grams): the newline paragraphs, and the windows at anchors that the filter lets through; para is a hash of all words, grams a window's shingles as 32-bit values."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -123,22 +152,28 @@ def _paragraphs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         size = WINDOW - WIDTH + 1
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for at, (r, s, p) in enumerate(_documents(b.column(1))):
-                x, y = _bits(s[p])
-                p = p[(test(x) & test(y)).astype(bool)]
-                if not len(p):
-                    continue
-                rows = s[p[:, None] + np.arange(size)]
-                para = np.zeros(len(p), dtype=_U)
-                for c in rows.T:
-                    para = B.mix(para * _U(0x9E3779B97F4A7C15) + c)
-                grams = (rows >> _U(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(p), ids[r], dtype=np.int64)), pa.array(p.astype(np.int32)), pa.array(para.view(np.int64)), pa.array([g.tobytes() for g in grams], pa.binary())],
-                    names=["id", "pos", "para", "grams"],
-                )
-
-    return docs.mapInArrow(run, "id long, pos int, para long, grams binary")
+            for i, every, at, line, row in _shingled(b.column(1)):
+                row, start, length, para, _ = _lines(every, at, line, row, shortest)
+                if len(row):
+                    yield _batch(ids[i + row], start, length, para, pa.nulls(len(row), pa.binary()))
+                for r, s, p in _windows(i, every, at):
+                    x, y = _bits(s[p])
+                    p = p[(test(x) & test(y)).astype(bool)]
+                    if not len(p):
+                        continue
+                    rows = s[p[:, None] + np.arange(size)]
+                    para = np.zeros(len(p), dtype=_U)
+                    for c in rows.T:
+                        para = B.mix(para * _U(0x9E3779B97F4A7C15) + c)
+                    grams = (rows >> _U(32)).astype(np.uint32)
+                    yield _batch(np.full(len(p), ids[r]), p, np.full(len(p), WINDOW), para, pa.array([g.tobytes() for g in grams], pa.binary()))
+
+    return docs.mapInArrow(run, "id long, pos int, len int, para long, grams binary")
+
+
+def _batch(ids: np.ndarray, pos: np.ndarray, length: np.ndarray, para: np.ndarray, grams: pa.Array) -> pa.RecordBatch:
+    columns = [pa.array(ids.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(para.view(np.int64)), grams]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "pos", "len", "para", "grams"])
 
 
 def _grams(column: pa.Array) -> np.ndarray:
@@ -160,7 +195,7 @@ def _bands(classes: DataFrame, percent: int, rows: int) -> DataFrame:
                     key = B.mix(key * _U(0xD6E8FEB86659FD93) + (g * m).min(axis=1))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(para)], names=["band", "para"])
 
-    return classes.select("para", "grams").mapInArrow(run, "band long, para long")
+    return classes.where("grams is not null").select("para", "grams").mapInArrow(run, "band long, para long")
 
 
 def _similar(scratch: Scratch, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -188,7 +223,7 @@ def _similar(scratch: Scratch, pairs: DataFrame, classes: DataFrame, percent: in
     return scratch.put(out.select("a", "b", "g_a", "g_b").mapInArrow(run, "a long, b long"), "links")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, rows: int = 3) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, rows: int = 3, shortest: int = WINDOW) -> DataFrame:
     """(id_col, start_word, end_word, n_words, cluster_id, first_id, removable), one row for every span of a document that other documents repeat.
 
     Words are lower-cased (A-Z) runs of letters, digits and non-ASCII, counted
@@ -197,6 +232,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     this document isn't the first. Documents without a repeated passage have
     no row.
 
+    Newline paragraphs of ``shortest`` words or more count, but never those of
+    fewer than WIDTH words, which have no shingle.
+
     Cases: null, empty and short texts have no paragraphs. Rows that repeat an
     id count as one document, rows without an id as none. An empty table gives
     an empty result; other columns are ignored.
@@ -205,7 +243,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     repeated = _anchor_rows(base).groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("anchor")
     repeated = scratch.put(repeated, "anchors")
-    paras = scratch.put(_paragraphs(base, _filter(repeated)), "paras")
+    paras = scratch.put(_paragraphs(base, _filter(repeated), shortest), "paras")
     scratch.drop(repeated)
     total = max(paras.count(), 1)
     # A few anchors pass the filter by chance; their paragraphs are classes of one document, which come to nothing.
@@ -233,14 +271,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     known = classes.drop("grams").join(labels, F.col("para") == F.col("id"), "left").select("para", "low", "high", "n", F.coalesce("component", "para").alias("cluster"))
     reach = known.groupBy("cluster").agg(F.min("low").alias("first_id"), F.max("high").alias("last_id")).where("first_id < last_id").select("cluster", "first_id")
     known = scratch.put(known.join(reach, "cluster").select("para", "n", "cluster", "first_id"), "known")
-    spots = salted_join(paras.select("id", "pos", "para"), known, ["para"], "id", "n", total)
+    spots = salted_join(paras.select("id", "pos", "len", "para"), known, ["para"], "id", "n", total)
     # Overlapping paragraphs of a document become one span.
-    joined = spots.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "cluster", "first_id"))).alias("p"))
+    joined = spots.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "len", "cluster", "first_id"))).alias("p"))
     span = "struct<s:int,e:int,cluster:bigint,first_id:bigint>"
     step = F.expr(
         f"aggregate(p, cast(array() as array<{span}>), (acc, x) -> if(size(acc) > 0 and x.pos <= acc[size(acc) - 1].e, "
-        f"concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', acc[size(acc) - 1].s, 'e', x.pos + {WINDOW}, 'cluster', least(acc[size(acc) - 1].cluster, x.cluster), 'first_id', least(acc[size(acc) - 1].first_id, x.first_id)))), "
-        f"concat(acc, array(named_struct('s', x.pos, 'e', x.pos + {WINDOW}, 'cluster', x.cluster, 'first_id', x.first_id)))))"
+        f"concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', acc[size(acc) - 1].s, 'e', greatest(acc[size(acc) - 1].e, x.pos + x.len), 'cluster', least(acc[size(acc) - 1].cluster, x.cluster), 'first_id', least(acc[size(acc) - 1].first_id, x.first_id)))), "
+        f"concat(acc, array(named_struct('s', x.pos, 'e', x.pos + x.len, 'cluster', x.cluster, 'first_id', x.first_id)))))"
     )
     spans = joined.select("id", F.explode(step).alias("s"))
     return spans.select(

@@ -75,7 +75,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return paragraph_dedup.repeated_passages(table(spark, sf_dir, "documents"), shortest=paragraph_dedup.WIDTH)
 
 
 QUERIES = {"op1_quality": op1_quality, "op2_preference": op2_preference, "op5_langid": op5_langid, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_toxicity": op6_toxicity, "op7_lm_score": op7_lm_score, "op8_exact_dedup": op8_exact_dedup, "op9_minhash_dedup": op9_minhash_dedup, "op10_paragraph_dedup": op10_paragraph_dedup}

@@ -389,6 +389,23 @@ def test_passages_documents(documents):
     assert len(got - runs[24]) <= 0.05 * len(got)  # what is only similar, not equal
 
 
+def test_passages_lines(spark):
+    short, text = prose(9, 501), prose(30, 502)
+    rows = [(i, prose(12 + i, 510 + i) + "\n" + (short if i < 3 else prose(9, 520 + i)) + ".\r\n" + prose(14, 530 + i)) for i in range(6)] + [(6, text), (7, text), (8, "\n\n" + short)]
+    got = paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), shortest=5).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.first_id) for r in got} == {(0, 12, 21, 0), (1, 13, 22, 0), (2, 14, 23, 0), (6, 0, 30, 6), (7, 0, 30, 6), (8, 0, 9, 0)}
+
+
+def test_passages_lines_documents(documents):
+    got = {r.doc_id for r in paragraph_dedup.repeated_passages(documents, shortest=5).collect()}
+    seen = collections.defaultdict(set)
+    for r in documents.select("doc_id", "text").collect():
+        for x in (r.text or "").split("\n"):
+            if len(words(x)) >= 5:
+                seen[tuple(words(x))].add(r.doc_id)
+    assert set().union(*(x for x in seen.values() if len(x) > 1)) <= got
+
+
 # -- preferences ------------------------------------------------------------
 
 
