@@ -14,7 +14,8 @@ words or more share a whole window.
 2. Equal paragraphs are one class. Classes are banded by MinHash, classes that
    collide are compared by exact Jaccard similarity of their shingle sets.
 3. Components of similar classes that reach several documents are repeated
-   passages; overlapping paragraphs of a document are joined to one span.
+   passages; touching paragraphs of a document with the same first
+   document are joined to one span.
 """
 
 from __future__ import annotations
@@ -224,13 +225,15 @@ def _similar(scratch: Scratch, pairs: DataFrame, classes: DataFrame, percent: in
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, rows: int = 3, shortest: int = WINDOW) -> DataFrame:
-    """(id_col, start_word, end_word, n_words, cluster_id, first_id, removable), one row for every span of a document that other documents repeat.
+    """(id_col, start_word, end_word, n_words, cluster_id, first_id, removable, clusters), one row for every span of a document that other documents repeat.
 
     Words are lower-cased (A-Z) runs of letters, digits and non-ASCII, counted
-    from 0; end_word is behind the last. cluster_id names the passage, first_id
-    is the smallest id of a document that holds it, and removable says that
-    this document isn't the first. Documents without a repeated passage have
-    no row.
+    from 0; end_word is behind the last. A span joins touching paragraphs whose
+    clusters have the same first_id, the smallest id of a document that holds
+    them, and removable says that this document isn't the first. clusters are
+    all of the span's clusters, cluster_id the smallest; documents with the same
+    passage have a cluster in common. Spans with different first_id may overlap.
+    Documents without a repeated passage have no row.
 
     Newline paragraphs of ``shortest`` words or more count, but never those of
     fewer than WIDTH words, which have no shingle.
@@ -272,16 +275,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reach = known.groupBy("cluster").agg(F.min("low").alias("first_id"), F.max("high").alias("last_id")).where("first_id < last_id").select("cluster", "first_id")
     known = scratch.put(known.join(reach, "cluster").select("para", "n", "cluster", "first_id"), "known")
     spots = salted_join(paras.select("id", "pos", "len", "para"), known, ["para"], "id", "n", total)
-    # Overlapping paragraphs of a document become one span.
-    joined = spots.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "len", "cluster", "first_id"))).alias("p"))
-    span = "struct<s:int,e:int,cluster:bigint,first_id:bigint>"
+    # Paragraphs of a document that touch become one span if their passages have the same first document, so a span is removable as a whole or not at all.
+    joined = spots.groupBy("id", "first_id").agg(F.array_sort(F.collect_set(F.struct("pos", "len", "cluster"))).alias("p"))
+    span = "struct<s:int,e:int,c:array<bigint>>"
+    last = "acc[size(acc) - 1]"
     step = F.expr(
-        f"aggregate(p, cast(array() as array<{span}>), (acc, x) -> if(size(acc) > 0 and x.pos <= acc[size(acc) - 1].e, "
-        f"concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', acc[size(acc) - 1].s, 'e', greatest(acc[size(acc) - 1].e, x.pos + x.len), 'cluster', least(acc[size(acc) - 1].cluster, x.cluster), 'first_id', least(acc[size(acc) - 1].first_id, x.first_id)))), "
-        f"concat(acc, array(named_struct('s', x.pos, 'e', x.pos + x.len, 'cluster', x.cluster, 'first_id', x.first_id)))))"
+        f"aggregate(p, cast(array() as array<{span}>), (acc, x) -> if(size(acc) > 0 and x.pos <= {last}.e, "
+        f"concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', {last}.s, 'e', greatest({last}.e, x.pos + x.len), 'c', concat({last}.c, array(x.cluster))))), "
+        f"concat(acc, array(named_struct('s', x.pos, 'e', x.pos + x.len, 'c', array(x.cluster))))))"
     )
-    spans = joined.select("id", F.explode(step).alias("s"))
+    spans = joined.select("id", "first_id", F.explode(step).alias("s"))
     return spans.select(
         F.col("id").alias(id_col), F.col("s.s").cast("long").alias("start_word"), F.col("s.e").cast("long").alias("end_word"), (F.col("s.e") - F.col("s.s")).cast("long").alias("n_words"),
-        F.col("s.cluster").alias("cluster_id"), F.col("s.first_id").alias("first_id"), (F.col("id") > F.col("s.first_id")).alias("removable"),
+        F.array_min("s.c").alias("cluster_id"), "first_id", (F.col("id") > F.col("first_id")).alias("removable"), F.array_sort(F.array_distinct("s.c")).alias("clusters"),
     )

@@ -389,6 +389,18 @@ def test_passages_documents(documents):
     assert len(got - runs[24]) <= 0.05 * len(got)  # what is only similar, not equal
 
 
+def test_passages_first(spark):
+    passage = prose(60, 600)
+    whole = prose(90, 601) + " " + passage + " " + prose(70, 602)
+    rows = [(5, prose(30, 603) + " " + passage + " " + prose(40, 604)), (10, whole), (20, whole)]
+    got = paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    cut = {i: set().union(*(range(r.start_word, r.end_word) for r in got if r.doc_id == i and r.removable)) for i in (5, 10, 20)}
+    # A window that is similar, not equal, reaches up to two words beyond the passage.
+    assert not cut[5] and len(cut[10]) > 30 and cut[10] <= set(range(88, 152)) and cut[20] == set(range(220))
+    held = [{c for r in got if r.doc_id == i and r.first_id == 5 for c in r.clusters} for i in (5, 10, 20)]
+    assert held[0] & held[1] & held[2]
+
+
 def test_passages_lines(spark):
     short, text = prose(9, 501), prose(30, 502)
     rows = [(i, prose(12 + i, 510 + i) + "\n" + (short if i < 3 else prose(9, 520 + i)) + ".\r\n" + prose(14, 530 + i)) for i in range(6)] + [(6, text), (7, text), (8, "\n\n" + short)]
