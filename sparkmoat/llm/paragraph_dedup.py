@@ -12,7 +12,8 @@ words or more share a whole window.
 1. Anchors that occur in one document only can't start a repeated window:
    anchors are counted, and windows are made at the others.
 2. Equal paragraphs are one class. Classes are banded by MinHash, classes that
-   collide are compared by exact Jaccard similarity of their shingle sets.
+   collide are compared by exact Jaccard similarity of their shingle sets,
+   windows with windows and newline paragraphs with newline paragraphs.
 3. Components of similar classes that reach several documents are repeated
    passages; touching paragraphs of a document with the same first
    document are joined to one span.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,7 +146,7 @@ def _filter(repeated: DataFrame) -> np.ndarray:
 
 
 def _paragraphs(docs: DataFrame, bits: np.ndarray, shortest: int) -> DataFrame:
-    """(id, pos, len, para, grams): the newline paragraphs, and the windows at anchors that the filter lets through; para is a hash of all words, grams a window's shingles as 32-bit values."""
+    """(id, pos, len, para, grams, line): the newline paragraphs, and the windows at anchors that the filter lets through; para is a hash of all words, grams its shingles as 32-bit values, line says that it is a newline paragraph."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -154,9 +156,9 @@ def _paragraphs(docs: DataFrame, bits: np.ndarray, shortest: int) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, every, at, line, row in _shingled(b.column(1)):
-                row, start, length, para, _ = _lines(every, at, line, row, shortest)
+                row, start, length, para, s = _lines(every, at, line, row, shortest)
                 if len(row):
-                    yield _batch(ids[i + row], start, length, para, pa.nulls(len(row), pa.binary()))
+                    yield _batch(ids[i + row], start, length, para, _binary(s, length - WIDTH + 1), True)
                 for r, s, p in _windows(i, every, at):
                     x, y = _bits(s[p])
                     p = p[(test(x) & test(y)).astype(bool)]
@@ -166,19 +168,42 @@ def _paragraphs(docs: DataFrame, bits: np.ndarray, shortest: int) -> DataFrame:
                     para = np.zeros(len(p), dtype=_U)
                     for c in rows.T:
                         para = B.mix(para * _U(0x9E3779B97F4A7C15) + c)
-                    grams = (rows >> _U(32)).astype(np.uint32)
-                    yield _batch(np.full(len(p), ids[r]), p, np.full(len(p), WINDOW), para, pa.array([g.tobytes() for g in grams], pa.binary()))
+                    yield _batch(np.full(len(p), ids[r]), p, np.full(len(p), WINDOW), para, _binary(rows.ravel(), np.full(len(p), size)), False)
 
-    return docs.mapInArrow(run, "id long, pos int, len int, para long, grams binary")
+    return docs.mapInArrow(run, "id long, pos int, len int, para long, grams binary, line boolean")
 
 
-def _batch(ids: np.ndarray, pos: np.ndarray, length: np.ndarray, para: np.ndarray, grams: pa.Array) -> pa.RecordBatch:
-    columns = [pa.array(ids.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(para.view(np.int64)), grams]
-    return pa.RecordBatch.from_arrays(columns, names=["id", "pos", "len", "para", "grams"])
+def _binary(s: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Successive runs of ``n`` shingles, each as one value of their upper halves."""
+    off = np.zeros(len(n) + 1, dtype=np.int32)
+    np.cumsum(4 * n, out=off[1:])
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off), pa.py_buffer((s >> _U(32)).astype(np.uint32))])
 
 
-def _grams(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, WINDOW - WIDTH + 1)
+def _batch(ids: np.ndarray, pos: np.ndarray, length: np.ndarray, para: np.ndarray, grams: pa.Array, line: bool) -> pa.RecordBatch:
+    columns = [pa.array(ids.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(para.view(np.int64)), grams, pa.array(np.full(len(ids), line))]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "pos", "len", "para", "grams", "line"])
+
+
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values in one array, and how many each row has."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint32), np.array([len(x) // 4 for x in rows], dtype=np.int64)
+
+
+def _sets(column: pa.Array) -> np.ndarray:
+    """The distinct values of each row, sorted, under the number of the row."""
+    g, n = _grams(column)
+    keys = np.sort(np.repeat(np.arange(len(n), dtype=_U) << _U(32), n) | g)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+
+
+def _parts(batch: pa.RecordBatch, *columns: int, rows: int = 4096, values: int = 1 << 20):
+    """Slices of at most ``rows`` rows and about ``values`` shingles, one row at least."""
+    size = sum(pc.binary_length(batch.column(c)).to_numpy().astype(np.int64) for c in columns) // 4
+    for i, j in B.slices(np.concatenate([[0], np.cumsum(size)]), values):
+        for at in range(i, j, rows):
+            yield batch.slice(at, min(rows, j - at))
 
 
 def _bands(classes: DataFrame, percent: int, rows: int) -> DataFrame:
@@ -188,15 +213,17 @@ def _bands(classes: DataFrame, percent: int, rows: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            g = B.mix(_grams(b.column(1)).astype(_U))
-            para = b.column(0).to_numpy()
-            for k in range(bands):
-                key = np.full(len(g), k, dtype=_U)
-                for m in mult[k]:
-                    key = B.mix(key * _U(0xD6E8FEB86659FD93) + (g * m).min(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(para)], names=["band", "para"])
+            for part in _parts(b, 1):
+                g, n = _grams(part.column(1))
+                g, first = B.mix(g.astype(_U)), np.cumsum(n) - n
+                line = part.column(2).to_numpy(zero_copy_only=False).astype(_U) << _U(32)
+                for k in range(bands):
+                    key = line + _U(k)
+                    for m in mult[k]:
+                        key = B.mix(key * _U(0xD6E8FEB86659FD93) + np.minimum.reduceat(g * m, first))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0)], names=["band", "para"])
 
-    return classes.where("grams is not null").select("para", "grams").mapInArrow(run, "band long, para long")
+    return classes.select("para", "grams", "line").mapInArrow(run, "band long, para long")
 
 
 def _similar(scratch: Scratch, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -211,15 +238,12 @@ def _similar(scratch: Scratch, pairs: DataFrame, classes: DataFrame, percent: in
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                x, y = np.sort(_grams(part.column(2)), axis=1), np.sort(_grams(part.column(3)), axis=1)
-                # Of equal shingles in one set the first counts.
-                new_x, new_y = (np.concatenate([np.ones((len(g), 1), bool), g[:, 1:] != g[:, :-1]], axis=1) for g in (x, y))
-                both = np.zeros(len(x), dtype=np.int64)
-                for k in range(x.shape[1]):
-                    both += new_x[:, k] & (y == x[:, k : k + 1]).any(axis=1)
-                yield part.filter(pa.array(100 * both >= percent * (new_x.sum(axis=1) + new_y.sum(axis=1) - both))).select([0, 1])
+            for part in _parts(b, 2, 3):
+                x, y = _sets(part.column(2)), _sets(part.column(3))
+                row = lambda keys: np.bincount((keys >> _U(32)).astype(np.int64), minlength=part.num_rows)  # noqa: B023, E731
+                z = np.sort(np.concatenate([x, y]))
+                both = row(z[1:][z[1:] == z[:-1]])
+                yield part.filter(pa.array(100 * both >= percent * (row(x) + row(y) - both))).select([0, 1])
 
     return scratch.put(out.select("a", "b", "g_a", "g_b").mapInArrow(run, "a long, b long"), "links")
 
@@ -250,7 +274,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch.drop(repeated)
     total = max(paras.count(), 1)
     # A few anchors pass the filter by chance; their paragraphs are classes of one document, which come to nothing.
-    classes = paras.groupBy("para").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"), F.first("grams").alias("grams"))
+    classes = paras.groupBy("para").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"), F.first("grams").alias("grams"), F.first("line").alias("line"))
     classes = scratch.put(classes, "classes")
 
     banded = scratch.put(_bands(classes, percent, rows), "banded")
@@ -271,7 +295,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     labels = scratch.put(components(scratch, links), "labels")
     scratch.drop(met, named, here)
 
-    known = classes.drop("grams").join(labels, F.col("para") == F.col("id"), "left").select("para", "low", "high", "n", F.coalesce("component", "para").alias("cluster"))
+    known = classes.drop("grams", "line").join(labels, F.col("para") == F.col("id"), "left").select("para", "low", "high", "n", F.coalesce("component", "para").alias("cluster"))
     reach = known.groupBy("cluster").agg(F.min("low").alias("first_id"), F.max("high").alias("last_id")).where("first_id < last_id").select("cluster", "first_id")
     known = scratch.put(known.join(reach, "cluster").select("para", "n", "cluster", "first_id"), "known")
     spots = salted_join(paras.select("id", "pos", "len", "para"), known, ["para"], "id", "n", total)

@@ -408,6 +408,27 @@ def test_passages_lines(spark):
     assert {(r.doc_id, r.start_word, r.end_word, r.first_id) for r in got} == {(0, 12, 21, 0), (1, 13, 22, 0), (2, 14, 23, 0), (6, 0, 30, 6), (7, 0, 30, 6), (8, 0, 9, 0)}
 
 
+def test_passages_similar_lines(spark):
+    rows, pairs = [], []
+    for k in range(60):
+        w = prose(50 + k % 11, 1000 + k).split(" ")
+        changed = [*w[: len(w) // 2], "changed", *w[len(w) // 2 + 1 :]]
+        a, b = " ".join(w), " ".join(changed)
+        if k % 2:  # inside longer texts
+            a, b = (f"{prose(12, 2000 + 2 * k + i)}\n{x}\n{prose(15, 3000 + 2 * k + i)}" for i, x in enumerate((a, b)))
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        if k < 20:  # of 40 words: 31 of 41 shingles, under 0.8
+            w = prose(40, 4000 + k).split(" ")
+            rows += [(500 + 2 * k, " ".join(w)), (501 + 2 * k, " ".join([*w[:20], "changed", *w[21:]]))]
+    got = paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), shortest=5).collect()
+    whole = collections.defaultdict(set)
+    for r in got:
+        if r.n_words >= 50:
+            whole[r.doc_id // 2].add((r.doc_id, r.first_id))
+    assert sum(whole[k] == {(2 * k, 2 * k), (2 * k + 1, 2 * k)} for k in range(60)) >= 58
+    assert not any(r.doc_id >= 500 and r.n_words >= 40 for r in got)
+
+
 def test_passages_lines_documents(documents):
     got = {r.doc_id for r in paragraph_dedup.repeated_passages(documents, shortest=5).collect()}
     seen = collections.defaultdict(set)
