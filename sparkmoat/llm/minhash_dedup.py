@@ -247,6 +247,33 @@ def _crowded(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, widt
     return pairs
 
 
+def _keyed(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a column __node that tells different texts of one id apart, and (__node, __real) of the nodes that aren't ids; None if no id repeats."""
+    key = F.col(id_col).cast("long")
+    again = scratch.put(docs.where(key.isNotNull()).groupBy(key.alias("__real")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__real"), "again")
+    if not again.limit(1).count():
+        return docs.withColumn("__node", key), None
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    texts = docs.select(key.alias("__real"), sha.alias("__sha")).join(again, "__real", "left_semi").distinct()
+    # Nodes of their own are below all ids.
+    low = docs.agg(F.min(key)).first()[0]
+    names = scratch.put(texts.select("__real", "__sha", (F.lit(min(low, 0) - 1) - F.monotonically_increasing_id()).alias("__own")), "names")
+    keyed = docs.withColumn("__real", key).withColumn("__sha", sha).join(names, ["__real", "__sha"], "left").withColumn("__node", F.coalesce("__own", "__real"))
+    return keyed.drop("__real", "__sha", "__own"), names.select(F.col("__own").alias("__node"), "__real")
+
+
+def _nodes(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with their __node, and (__node, id, n_shingles, component_id, kept), one row per row of ``docs``."""
+    keyed, names = _keyed(scratch, docs, id_col, text_col)
+    found = _components(scratch, keyed, "__node", text_col, width, percent)
+    if names is None:
+        return keyed, found.withColumn("id", F.col("__node"))
+    found = scratch.put(found.join(names, "__node", "left").select("__node", F.coalesce("__real", "__node").alias("id"), "n_shingles", "component_id"), "found")
+    first = found.groupBy("component_id").agg(F.min("id").alias("first"))
+    found = found.join(first, "component_id", "left").select("__node", "id", "n_shingles", F.col("first").alias("component_id"))
+    return keyed, found.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate components: (id_col, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -265,11 +292,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     between components is left out.
 
     Cases: null and empty texts, and those without words, have n_shingles 0 and
-    are linked with nothing. Rows that repeat an id are rows of their own; a
+    are linked with nothing. Rows that repeat an id are rows of their own, with
+    the links of their own texts; a
     row without an id is linked with nothing, has component_id null and is
     kept. An empty table gives an empty result; other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession)
+    _, found = _nodes(Scratch(docs.sparkSession), docs, id_col, text_col, width, percent)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _components(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` where all rows of one id have the same text."""
     signed = scratch.put(signatures(docs, id_col, text_col, width), "signed")
     real = signed.where("n > 0 and id is not null")
     classes = scratch.put(real.groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -310,6 +343,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, that of the smallest id; all columns stay, and so do rows without an id."""
-    gone = near_duplicates(docs, id_col, text_col, width, percent).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    """``docs`` with one row of each near-duplicate group, that of the smallest id; all columns stay, and so do rows without an id.
+
+    Of rows that repeat an id only those whose own text is a copy go.
+    """
+    keyed, found = _nodes(Scratch(docs.sparkSession), docs, id_col, text_col, width, percent)
+    gone = found.where("not kept").select(F.col("__node").alias("__gone")).distinct()
+    return keyed.join(gone, keyed["__node"] == gone["__gone"], "left_anti").select(*docs.columns)

@@ -213,6 +213,16 @@ def contamination_by_hand(docs, items, width=10):
     return sorted(out, key=str)
 
 
+def test_near_duplicates_repeated_ids(spark):
+    a, b = prose(80, 700), prose(80, 701)
+    rows = [(1, a), (5, a + " more"), (5, b), (9, b + " more"), (7, prose(80, 702)), (7, prose(80, 703))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(df).collect())
+    assert got == [(1, 76, 1, True), (5, 76, 5, True), (5, 77, 1, False), (7, 76, 7, True), (7, 76, 7, True), (9, 77, 5, False)]
+    left = sorted(map(tuple, minhash_dedup.drop_near_duplicates(df).collect()))
+    assert left == sorted(rows[k] for k in (0, 2, 4, 5))
+
+
 def test_contamination_awkward(spark, awkward):
     items = spark.createDataFrame([(1, "beta GAMMA"), (2, prose(60, 2)), (3, ""), (4, None), (None, "alpha"), (5, "beta gamma"), (11, "456")], "item_id long, text string").withColumn("ws", F.lit(1))
     got = decontaminate.contamination(awkward, items).select("doc_id", "n_words", "n_hit", F.array_join("items", ","), "contaminated")
