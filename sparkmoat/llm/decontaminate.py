@@ -25,9 +25,9 @@ def words(text: str | Column) -> Column:
     return F.array_remove(F.split(normalised(text), SEPARATORS), "")
 
 
-def item_windows(items: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(win, items): every run of ``width`` words (all words of a shorter item) and the ids of its items."""
-    split = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words(text_col).alias("ws")).where("size(ws) > 0")
+def item_windows(items: DataFrame, id_col: str, text_col: str, width: int, unnamed: bool = False) -> DataFrame:
+    """(win, items): every run of ``width`` words (all words of a shorter item) and the ids of its items; with ``unnamed`` also those of items without an id."""
+    split = items.where(F.lit(unnamed) | F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words(text_col).alias("ws")).where("size(ws) > 0")
     size = F.least(F.size("ws"), F.lit(width))
     runs = split.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - size + 1), lambda i: F.slice("ws", i, size))).alias("win"))
     return runs.groupBy("win").agg(F.collect_set("item").alias("items"))
@@ -44,7 +44,7 @@ def _posted(docs: DataFrame, text_col: str, windows: DataFrame) -> DataFrame:
     return each.groupBy("win").agg(rarest, F.first("items").alias("items")).select(F.col("r.w").alias("anchor"), F.col("r.at").alias("at"), "win", "items")
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = 10, unnamed: bool = False) -> DataFrame:
     """(id_col, text_md5, n_words, n_hit, items, contaminated), one row per row of ``docs``.
 
     Words are lower-cased (A-Z) runs of letters, digits and non-ASCII. A word
@@ -56,13 +56,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     last "word"), so rows without a hit need no further join, and all a row's
     words stay in one generated loop: only verified windows are shuffled.
 
-    Cases: null and empty texts have no words. Items without words or without
-    an id are left out. Repeated rows each get their row (rows are told apart
+    Cases: null and empty texts have no words. Items without words are
+    left out; so are items without an id, unless ``unnamed``: then their windows
+    hit as well, and only ``items`` doesn't list them. Repeated rows each get their row (rows are told apart
     by id and text; equal rows have equal results). Null ids are ids like any
     other. Empty tables are fine; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    windows = scratch.put(item_windows(items, item_id_col, item_text_col, width), "windows")
+    windows = scratch.put(item_windows(items, item_id_col, item_text_col, width, unnamed), "windows")
     posted = scratch.put(_posted(docs, text_col, windows), "posted")
     blocks = max(1, -(-posted.count() // BROADCAST_WINDOWS))
     base = docs.select(F.col(id_col).alias("__id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("__key"), words(text_col).alias("ws"))

@@ -234,6 +234,14 @@ def test_contamination_awkward(spark, awkward):
     assert decontaminate.contamination(awkward.where(F.lit(False)), items).count() == 0
 
 
+def test_contamination_unnamed_items(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, "six")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "two three"), (7, "five"), (None, "five")], "item_id long, text string")
+    got = decontaminate.contamination(docs, items, unnamed=True).select("doc_id", "n_hit", "items", "contaminated").collect()
+    assert sorted(map(tuple, got)) == [(1, 2, [], True), (2, 1, ["7"], True), (3, 0, [], False)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items, unnamed=True).collect()] == [3]
+
+
 def test_contamination_in_blocks(spark, awkward, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 7)
     items = spark.createDataFrame([(2, prose(60, 2)), (1, "beta gamma")], "item_id long, text string")
