@@ -12,7 +12,7 @@ coordinates are candidates, and their full shingle sets decide.
 * Copies: documents with equal sets are one class, and only classes are posted.
 
 With Jaccard >= 0.8 two documents agree on a coordinate with a chance of 0.64
-or more; the chance of fewer than MATCH=19 of K=64 is below 2e-7 a pair.
+or more; the chance of fewer than MATCH=7 of K=32 is below 3e-7 a pair.
 """
 
 from __future__ import annotations
@@ -23,19 +23,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytehash as B
-from .scratch import Scratch, components, salted_join
+from . import repeats
+from .scratch import Scratch, components, lookup, salted_join, salted_pairs
 
 #: A coordinate is a pair of MinHash values, so unrelated texts hardly ever agree on one.
-K, MATCH = 64, 19
+K, MATCH = 32, 7
 #: Coordinates that two documents must have in common in their prefixes, which are longer by COMMON - 1 for that.
 COMMON = 2
 #: Lists up to this length are compared pair by pair; ratio of the size classes for longer ones.
 SHORT, CLASS = 32, 1.06
+#: 64-bit words of the bitmaps that tell sets of a crowded list apart before they are compared.
+WORDS = 8
+#: Members that are compared with one hub in one go.
+STAR = 512
 _U = np.uint64
 _RNG = np.random.default_rng(977)
 _MULT = _RNG.integers(1, 2**63, 2 * K, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _ADD = _RNG.integers(1, 2**63, 2 * K, dtype=np.int64).astype(_U)
 _SET = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
+_MAPS = [f"m{k}" for k in range(WORDS)]
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int):
@@ -95,22 +101,32 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw[off[0] : off[-1]].tobytes(), dtype=_U), np.diff(off) // 8
 
 
-def postings(scratch: Scratch, reps: DataFrame) -> DataFrame:
+def postings(scratch: Scratch, reps: DataFrame, n_reps: int) -> DataFrame:
     """(token, id, alone): of each class its rarest coordinates that another class shares; alone counts those that none shares.
 
     Coordinates are ordered by the exact number of classes that have them. The
     first K - MATCH + COMMON are the prefix; those that one class alone has
     come first and need no posting, so most classes post little or nothing.
+    A filter of what repeats keeps most of those from being shuffled at all.
     """
 
+    def each(b):
+        for at in range(0, b.num_rows, 4096):
+            part = b.slice(at, 4096)
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            yield _tokens(part.column(1)).ravel(), np.repeat(ids, K)
+
+    table = reps.select("id", "sig")
+    shared = reps.sparkSession.sparkContext.broadcast(repeats.repeated(table, each, K * n_reps))
+
     def run(batches):
+        test = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(_tokens(part.column(1)).ravel().view(np.int64)), pa.array(np.repeat(ids, K))], names=["token", "id"])
+            for tokens, ids in each(b):
+                k = test(tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[k].view(np.int64)), pa.array(ids[k])], names=["token", "id"])
 
-    every = scratch.put(reps.select("id", "sig").mapInArrow(run, "token long, id long"), "tokens")
+    every = scratch.put(table.mapInArrow(run, "token long, id long"), "tokens")
     sizes = every.groupBy("token").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
     shared = salted_join(every, sizes, ["token"], "id", "len", every.count())
     order = Window.partitionBy("id").orderBy("len", "token")
@@ -132,19 +148,45 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(id, n, grams): the full shingle sets of (id, text)."""
+    """(id, comp, n, grams): the full shingle sets of (id, text, comp)."""
 
     def run(batches):
         for b in batches:
             raw, off = B.buffers(b.column(1))
             found = list(shingle_sets(raw, off, width))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "grams"])
+            n = np.array([len(s) for s in found], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "comp", "n", "grams"])
+
+    return texts.select("id", "text", "comp").mapInArrow(run, "id long, comp long, n long, grams binary")
+
+
+def _compare(percent: int, width: int):
+    """For rows (key, salt, member, id, text), sorted so, where the row with member 0 is the key's own: (a, b) of the keys and members whose sets reach the threshold."""
+
+    def run(batches):
+        at, hub = None, None
+        for b in batches:
+            raw, off = B.buffers(b.column(4))
+            key, salt, member, ids = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            keep = np.zeros(b.num_rows, dtype=bool)
+            for i, x in enumerate(shingle_sets(raw, off, width)):
+                if not member[i]:
+                    at, hub = (key[i], salt[i]), x
+                elif at == (key[i], salt[i]):
+                    both = len(np.intersect1d(hub, x, assume_unique=True))
+                    keep[i] = 100 * both >= percent * (len(hub) + len(x) - both)
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ids[keep])], names=["a", "b"])
 
-    return texts.mapInArrow(run, "id long, n long, grams binary")
+    return run
 
 
 def _confirm(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Edges (a, b) of ``pairs`` whose full sets reach the threshold. Signatures are compared first, then sets."""
+    """Edges (a, b) of ``pairs`` whose full sets reach the threshold. Signatures are compared first, then sets.
+
+    Only texts are shuffled for that, each once for every ``a`` that it is a
+    member of; they meet the text of ``a``, which goes out once for every STAR
+    members, and sets are made and compared as rows stream by.
+    """
 
     def with_both(pairs, total, table, column):
         """pairs with ``column`` of both ends; an end in very many pairs is salted."""
@@ -161,41 +203,22 @@ def _confirm(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, widt
         return pairs.select("a", "b")
     sized = with_both(pairs, total, reps, "sig").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     likely = scratch.put(_agreeing(sized.select("a", "b", "sig_a", "sig_b"), reps), "likely")
-    total = likely.count()
-    if not total:
+    scratch.drop(pairs)
+    if not likely.limit(1).count():
         return likely
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    full = scratch.put(_sets(texts, width), "sets")
 
-    def check(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
-
-    edges = scratch.put(with_both(likely, total, full, "grams").select("a", "b", "grams_a", "grams_b").mapInArrow(check, "a long, b long"), "links")
-    scratch.drop(pairs, likely, full)
+    parts = likely.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
+    dealt = likely.join(parts, "a").select(F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("member"), F.col("b").alias("id"))
+    hubs = parts.select(F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("a").alias("id"))
+    wanted = scratch.put(dealt.unionAll(hubs), "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    met = lookup(texts, wanted, "id").select("key", "salt", "member", "id", "text")
+    met = met.repartition("key", "salt").sortWithinPartitions("key", "salt", "member")
+    edges = scratch.put(met.mapInArrow(_compare(percent, width), "a long, b long"), "links")
+    scratch.drop(likely, wanted)
     return edges
 
 
-def _prefixes(n: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For sets of the sizes n: (own size class, partner's size class, prefix length) for each class that a partner can be in."""
-    z = np.floor(np.log(n) / np.log(CLASS) + 1e-9).astype(np.int64)
-    reach = int(np.ceil(np.log(100 / percent) / np.log(CLASS)))
-    out = []
-    for other in (z + d for d in range(-reach, reach + 1)):
-        least = np.maximum(np.ceil(CLASS**other - 1e-6), np.ceil(n * percent / 100 - 1e-9))  # the smallest partner in that class
-        need = np.ceil(percent * (n + least) / (100 + percent) - 1e-9)  # what the two must share
-        possible = (other >= 0) & (CLASS ** (other + 1) + 1e-6 >= n * percent / 100) & (least <= n * 100 / percent)
-        out.append((z, other, np.where(possible, np.clip(n - need + 1, 0, n), 0).astype(np.int64)))
-    return out
-
-
 def _crowded(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, crowd: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components among the members (id, comp) of lists too long to compare pair by pair.
 
@@ -203,47 +226,56 @@ def _crowded(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, widt
     threshold among each other, or from very common shingles. Their full sets
     are posted under their rarest shingles: two sets that reach the threshold
     share one among the first n - need + 1 of each, where need is the overlap
-    that their sizes ask for (sizes are dealt in classes, so that need is
-    close). A near copy's rarest shingles are its own changes, so copies that
-    differ in their changes never meet.
+    that their sizes ask for, at least ``percent`` of either set. A near copy's
+    rarest shingles are its own changes, so copies that differ in their changes
+    never meet. Shingles that one set alone has come first and aren't posted;
+    the others are ordered by a tally of them all.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = scratch.put(_sets(texts.join(crowd.select("id"), "id", "left_semi"), width).join(crowd, "id").dropDuplicates(["id", "n"]), "crowded")
+    sets = scratch.put(_sets(lookup(texts, crowd, "id"), width).dropDuplicates(["id"]), "crowded")
+    total = sets.agg(F.sum("n")).first()[0]
+    if not total:
+        return sets.select(F.col("id").alias("a"), F.col("id").alias("b"))
 
-    def each(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                flat, sizes = _grams(part.column(1))
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(ids, sizes))], names=["gram", "id"])
+    def grams(b):
+        for at in range(0, b.num_rows, 1024):
+            part = b.slice(at, 1024)
+            flat, n = _grams(part.column(1))
+            yield flat, np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)
 
-    every = scratch.put(sets.select("id", "grams").mapInArrow(each, "gram long, id long"), "grams")
-    many = every.groupBy("gram").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
-    shared = salted_join(every, many, ["gram"], "id", "len", max(every.count(), 1))
-    ranked = shared.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("len", "gram"))).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("id")))
-    # Shingles that one set alone has come first in its order; they meet nothing and aren't posted.
-    ranked = ranked.join(sets.select("id", "n", "comp"), "id").select("gram", "id", "comp", "n", (F.col("n") - F.col("met") + F.col("r") - 1).alias("pos")).where(f"100 * pos <= {100 - percent} * n")
+    def again(b):
+        for flat, _ in grams(b):
+            yield flat[met.value(flat)]
 
-    def run(batches):
+    send = sets.sparkSession.sparkContext.broadcast
+    table = sets.select("id", "grams")
+    met = send(repeats.repeated(table, grams, total))
+    tally = send(repeats.tally(table, again, total))
+
+    def post(batches):
+        counts = tally.value
         for b in batches:
-            gram, ids, comp, n, pos = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            for own, other, length in _prefixes(n, percent):
-                k = np.flatnonzero(pos < length)
-                pair = (np.minimum(own, other)[k] * 4096 + np.maximum(own, other)[k]).astype(_U)
-                token = B.mix(gram[k].view(_U) + B.mix(pair + _U(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *(pa.array(x[k]) for x in (ids, comp, n, pos))], names=["token", "id", "comp", "n", "pos"])
-
-    posted = scratch.put(ranked.mapInArrow(run, "token long, id long, comp long, n long, pos long"), "rare")
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                flat, n = _grams(part.column(3))
+                row, often = np.repeat(np.arange(len(n)), n), np.where(met.value(flat), repeats.counted(counts, flat), 0)
+                order = np.lexsort((flat, often, row))
+                pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                k = np.flatnonzero((often[order] > 0) & (100 * pos <= (100 - percent) * n[row]))
+                ids, comp = (part.column(c).to_numpy(zero_copy_only=False)[row[k]] for c in (0, 1))
+                maps = repeats.parity(flat, np.cumsum(n) - n, 64 * WORDS)[row[k]].T.copy()
+                yield pa.RecordBatch.from_arrays([pa.array(flat[order[k]].view(np.int64)), *map(pa.array, (ids, comp, n[row[k]], pos[k])), *map(pa.array, maps)], names=["token", "id", "comp", "n", "pos", *_MAPS])
+
+    posted = scratch.put(sets.select("id", "comp", "n", "grams").mapInArrow(post, "token long, id long, comp long, n long, pos long, " + ", ".join(f"{m} long" for m in _MAPS)), "rare")
     per = posted.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
     tops = per.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("t"), F.sum("size").alias("len"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     tops = scratch.put(tops.select("token", F.col("t.comp").alias("major"), "len"), "tops")
-    here = scratch.put(salted_join(posted, tops, ["token"], "id", "len", max(posted.count(), 1)).drop("len"), "here")
-    minor = here.where("comp <> major").select("token", *(F.col(c).alias(f"{c}2") for c in ("id", "comp", "n", "pos")))
+    n_posted = max(posted.count(), 1)
+    here = scratch.put(salted_join(posted, tops, ["token"], "id", "len", n_posted), "here")
     need = f"ceil({percent} * (n + n2) / {100 + percent}D - 1e-9)"
-    pairs = minor.join(here, "token").where(f"comp <> comp2 and (comp = major or id2 < id) and 100 * least(n, n2) >= {percent} * greatest(n, n2) and least(n - pos, n2 - pos2) >= {need}")
+    pairs = salted_pairs(here.where("comp <> major"), here, "token", "id", ("id", "comp", "n", "pos", *_MAPS), n_posted).where(f"comp <> comp2 and (comp = major or id2 < id) and 100 * least(n, n2) >= {percent} * greatest(n, n2) and least(n - pos, n2 - pos2) >= {need} and {repeats.apart(WORDS, percent)}")
     pairs = scratch.put(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "rare-pairs")
-    scratch.drop(sets, every, posted, tops, here)
+    scratch.drop(sets, posted, tops, here)
     return pairs
 
 
@@ -305,9 +337,9 @@ def _components(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, w
     """``near_duplicates`` where all rows of one id have the same text."""
     signed = scratch.put(signatures(docs, id_col, text_col, width), "signed")
     real = signed.where("n > 0 and id is not null")
-    classes = scratch.put(real.groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = scratch.put(signed.join(classes.select("hi", "lo", "n", F.col("rep").alias("id")), ["hi", "lo", "n", "id"], "left_semi").select("id", "n", "sig").dropDuplicates(["id", "n"]), "reps")
-    posted = postings(scratch, reps)
+    classes = scratch.put(real.groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("sig").alias("sig")), "classes")
+    reps = classes.select(F.col("rep").alias("id"), "n", "sig")
+    posted = postings(scratch, reps, classes.count())
     # The hub is the member with most in common with others: in a group of near copies that is the one with the fewest changes.
     common = F.shiftleft(F.col("alone").cast("long"), 40) + F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("len"), F.min_by("id", common).alias("hub"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")

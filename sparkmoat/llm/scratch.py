@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is heavy when it holds more than 1/HEAVY of the rows, so there are fewer than HEAVY of them.
 HEAVY = 1000
+#: Rows of a written table that may be broadcast: about 16 MB of ids. Beyond that both sides are shuffled.
+SMALL = 1 << 18
+#: Bytes of one Arrow batch to or from Python while a table is written.
+BATCH = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to be no column of ``df``, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: int):
+    """Bounds the bytes of Arrow batches in plans made meanwhile."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Writes intermediate results as Parquet in the shared folder and reads them back.
 
@@ -39,7 +66,8 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        with batches_of(self.spark, BATCH):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
@@ -53,6 +81,11 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
+def lookup(big: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """big JOIN few USING (key), for a written table ``few`` of numbers; it is broadcast if it has at most SMALL rows."""
+    return big.join(F.broadcast(few) if few.count() <= SMALL else few, key)
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """big JOIN small USING (keys), where one key of ``big`` may hold a large part of its rows.
 
@@ -70,6 +103,14 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str,
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
+def salted_pairs(few: DataFrame, many: DataFrame, key: str, spread: str, columns: tuple[str, ...], total: int) -> DataFrame:
+    """few JOIN many USING (key); ``columns`` of ``few`` get a 2 at the end. Both have ``len``, the key's number of rows in ``many``, and ``total`` is at least the sum of those: keys above total/HEAVY are dealt over salts, and the rows of ``few`` go to each."""
+    parts = F.ceil(F.col("len") / F.lit(max(total // HEAVY, 1))).cast("int")
+    left = few.select(key, *(F.col(c).alias(f"{c}2") for c in columns), F.explode(F.sequence(F.lit(0), parts - 1)).alias("__salt"))
+    right = many.withColumn("__salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("len")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): (id, component) for every id of an edge, component its smallest reachable id.
 
