@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 _U = np.uint64
 #: Keys that a bucket holds on average, and that a task gathers before it sends them on.
-BUCKET, BLOCK = 1 << 20, 1 << 20
+BUCKET, BLOCK = 1 << 20, 1 << 19
 #: Bits for each repeated key (two of them are set), and all bits together at most: 64 MB.
 PER_KEY, MOST = 16, 1 << 29
 
@@ -125,7 +125,8 @@ def tally(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]
         for b in batches:
             for k in keys(b):
                 for at in slots(k, size):
-                    got += np.bincount(at, minlength=2 * size).astype(np.uint32)
+                    spot, times = np.unique(at, return_counts=True)
+                    got[spot] += times.astype(np.uint32)
                 seen += len(k)
         if seen:
             parts = [x.tobytes() for x in got.reshape(-1, block)]
