@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exact_dedup import normalised
-from .scratch import Scratch
+from .scratch import Scratch, fresh
 
 #: ASCII that belongs to no word, once A-Z are lower-cased.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -86,7 +86,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows in which a benchmark window occurs; all columns stay."""
-    hit = contamination(docs, items, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("__i"), F.col("text_md5").alias("__m")).distinct()
-    key = docs[id_col].eqNullSafe(F.col("__i")) & (F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")))) == F.col("__m"))
+    """``docs`` without the rows in which a benchmark window occurs; all columns stay, whatever their names, and so do null and empty texts."""
+    i, m = fresh(docs, "__i", "__m")
+    hit = contamination(docs, items, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias(i), F.col("text_md5").alias(m)).distinct()
+    key = docs[id_col].eqNullSafe(F.col(i)) & (F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")))) == F.col(m))
     return docs.join(hit, key, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, salted_join
+from .scratch import Scratch, fresh, salted_join
 
 #: Letters that count as equal.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,15 +73,18 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A row is named by id and text, null ids included. Rows that repeat the id
     that stays are reduced to one as well; as that is rare, it is only planned
-    where such rows exist.
+    where such rows exist. Null text is empty, an empty table stays empty, and
+    columns may have any names.
     """
     scratch = Scratch(docs.sparkSession)
-    named = exact_groups(docs, id_col, text_col, keep).select(F.col(id_col).alias("__i"), F.unhex("text_sha256").alias("__s"), "kept")
+    i, h = fresh(docs, "__i", "__s")
+    named = exact_groups(docs, id_col, text_col, keep).select(F.col(id_col).alias(i), F.unhex("text_sha256").alias(h), F.col("kept").alias("kept"))
     named = scratch.put(named, "named")
-    key = (docs[id_col].eqNullSafe(F.col("__i"))) & (F.unhex(F.sha2(normalised(docs[text_col]), 256)) == F.col("__s"))
-    left = docs.join(named.where("not kept").select("__i", "__s").distinct(), key, "left_anti")
-    again = named.where("kept").groupBy("__i", "__s").count().where("count > 1").select("__i", "__s")
+    sha = lambda df: F.unhex(F.sha2(normalised(df[text_col]), 256))
+    same = lambda df: df[id_col].eqNullSafe(F.col(i)) & (sha(df) == F.col(h))
+    left = docs.join(named.where("not kept").select(i, h).distinct(), same(docs), "left_anti")
+    again = named.where("kept").groupBy(i, h).count().where("count > 1").select(i, h)
     if not again.limit(1).count():
         return left
-    once = docs.join(again, key, "left_semi").withColumn("__s", F.sha2(normalised(text_col), 256)).dropDuplicates([id_col, "__s"]).drop("__s")
-    return left.join(again, (left[id_col].eqNullSafe(F.col("__i"))) & (F.unhex(F.sha2(normalised(left[text_col]), 256)) == F.col("__s")), "left_anti").unionAll(once)
+    once = docs.join(again, same(docs), "left_semi").withColumn(h, F.sha2(normalised(text_col), 256)).dropDuplicates([id_col, h]).drop(h)
+    return left.join(again, same(left), "left_anti").unionAll(once)

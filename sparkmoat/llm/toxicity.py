@@ -101,35 +101,42 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     return train(y, table.column("text"), share[y.astype(int)])
 
 
+def score_of(docs: DataFrame, model: SparseWeights | None, text_col: str = "text") -> Column:
+    """The score (double in 0..1) of each row of ``docs`` as a column. Only the text goes to Python; null and empty texts have the constant alone, and without a model every score is 0."""
+    if model is None:
+        return F.lit(0.0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        model = shared.value
+        dense = _dense(model)
+        raw, off = B.buffers(text)
+        sums = np.zeros(len(text))
+        for i, j in B.slices(off):
+            r, f = _features(raw, off, i, j)
+            hit = np.flatnonzero(dense[f])
+            key = np.unique(r[hit] * (1 << BITS) + f[hit])
+            sums[i:j] = np.bincount(key >> BITS, weights=dense[key & ((1 << BITS) - 1)], minlength=j - i)
+        return pa.array(1 / (1 + np.exp(-np.clip(sums + model.bias, -30, 30))))
+
+    return scored(F.col(text_col))
+
+
+def _dense(model: SparseWeights) -> np.ndarray:
+    """The weights by feature, made once for a model."""
+    if getattr(model, "made", None) is None:
+        model.made = model.dense()
+    return model.made
+
+
 def score(docs: DataFrame, model: SparseWeights | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out_col: str = "score") -> DataFrame:
     """(id_col, out_col double in 0..1), one row per row of ``docs``; ``keep`` names columns to carry instead of the id alone.
 
-    Cases: null and empty texts have the constant alone; without a model every
-    score is 0. Rows are independent, so repeats, null ids and empty tables
-    need no care; columns that aren't asked for are ignored.
+    Cases: see ``score_of``. Rows are independent, so repeats, null ids and
+    empty tables need no care; columns that aren't asked for are ignored.
     """
     names = keep or [id_col]
     if out_col in names:
         raise ValueError(f"out_col {out_col!r} is a column of the table; name another")
-    if model is None:
-        return docs.select(*names, F.lit(0.0).alias(out_col))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        model = shared.value
-        dense = model.dense()
-        for b in batches:
-            raw, off = B.buffers(b.column(0))
-            sums = np.zeros(b.num_rows)
-            for i, j in B.slices(off):
-                r, f = _features(raw, off, i, j)
-                hit = np.flatnonzero(dense[f])
-                key = np.unique(r[hit] * (1 << BITS) + f[hit])
-                sums[i:j] = np.bincount(key >> BITS, weights=dense[key & ((1 << BITS) - 1)], minlength=j - i)
-            p = 1 / (1 + np.exp(-np.clip(sums + model.bias, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p)], names=[*b.schema.names[1:], "__score"])
-
-    fields = docs.select(*names).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    out = docs.select(F.col(text_col).alias("__text"), *names).mapInArrow(run, f"{schema}, __score double")
-    return out.withColumnRenamed("__score", out_col)
+    return docs.select(*names, score_of(docs, model, text_col).alias(out_col))
