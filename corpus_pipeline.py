@@ -12,29 +12,28 @@ from sparkmoat.llm.scratch import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model scores under 0.3."""
+    """Documents that the toxicity model scores under 0.3; null and empty texts are scored by the constant alone. Ties, repeats and empty tables need no care."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn_from=remainder("doc_id", 4) != 2)
-    scored = toxicity.score(docs, model, keep=docs.columns, out_col="__score")
-    return scored.where("__score < 0.3").select(*docs.columns)
+    return docs.where(toxicity.score_of(docs, model) < 0.3)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
+    """Of equal texts, the document with the largest id; null counts as empty, and one empty document stays. A repeated row stays once."""
     return exact_dedup.drop_copies(docs, keep="max")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates, that of the smallest id: five-word shingles, similarity 0.8 or more. Texts without words, and rows without an id, stay."""
     return minhash_dedup.drop_near_duplicates(docs, width=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs; null and empty texts have none."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, and whether they decode to its text."""
+    """Each document's token ids, and a hash of the text that they decode to; a null text is empty."""
     done = bpe.round_trip(docs, tokenizer_path())
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("text_sha256"))
 
