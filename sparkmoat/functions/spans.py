@@ -44,6 +44,10 @@ def finding(rule_id: str, severity, action, start, end, message, preview=None, m
     )
 
 
+#: Matches that are placed together.
+BLOCK = 256
+
+
 def candidates(text: Column, pattern: str, limit: int | None = None) -> Column:
     """array<struct<start, end, m>>: the matches of a regex that matches no empty text; with ``limit`` the first limit + 1."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
@@ -57,7 +61,18 @@ def candidates(text: Column, pattern: str, limit: int | None = None) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("found"))
 
     pairs = F.filter(F.arrays_zip(matches.alias("m"), gaps.alias("gap")), lambda x: x["m"].isNotNull())
-    return F.aggregate(pairs, empty, place)["found"]
+    if limit is not None and limit <= BLOCK:
+        return F.aggregate(pairs, empty, place)["found"]
+
+    # Many matches are placed in blocks, and then the blocks, as each step copies what was found before.
+    def blocks(all_):
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)).cast("int"), F.lit(BLOCK)), lambda i: F.aggregate(F.slice(all_, i + 1, BLOCK), empty, place))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(cut, zero, lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))["starts"]
+        moved = F.transform(F.arrays_zip(cut.alias("c"), starts.alias("s")), lambda z: F.transform(z["c"]["found"], lambda x: F.struct((x["start"] + z["s"]).alias("start"), (x["end"] + z["s"]).alias("end"), x["m"].alias("m"))))
+        return F.flatten(moved)
+
+    return let(pairs, blocks)
 
 
 def budgeted(text: Column, pattern: str, limit: int, valid, hit, overflow, guard: Column | None = None, before: bool = False) -> Column:
@@ -90,11 +105,9 @@ def normalized(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
-def crlf_places(text: Column) -> Column:
-    """Where, in the normalised text, a CRLF became one character; empty for texts without CR."""
-    places = candidates(F.regexp_replace(text, "\r(?!\n)", "\n"), "\r\n")
-    shifted = F.transform(places, lambda x, i: x["start"] - i)
-    return F.when(F.contains(text, F.lit("\r\n")), shifted).otherwise(F.array().cast("array<int>"))
+def crlf_marks(text: Column) -> Column:
+    """The normalised text with CR where a CRLF became one character; empty for texts without CRLF."""
+    return F.when(F.contains(text, F.lit("\r\n")), F.replace(F.regexp_replace(text, "\r(?!\n)", "\n"), F.lit("\r\n"), F.lit("\r"))).otherwise("")
 
 
 def shifted(findings: Column, start: Callable[[Column], Column], end: Callable[[Column], Column] | None = None) -> Column:
@@ -104,10 +117,14 @@ def shifted(findings: Column, start: Callable[[Column], Column], end: Callable[[
     )))
 
 
-def to_original(findings: Column, crlf: Column) -> Column:
-    """Spans of the normalised text as spans of the original."""
-    back = lambda p: p + F.size(F.filter(crlf, lambda x: x < p))
-    return F.when(F.size(crlf) > 0, shifted(findings, back)).otherwise(findings)
+def to_original(findings: Column, marks: Column) -> Column:
+    """Spans of the normalised text as spans of the original: each place moves by the CRs of ``marks`` before it."""
+
+    def back(p):
+        before = F.substring(marks, F.lit(1), p)
+        return p + F.length(before) - F.length(F.replace(before, F.lit("\r")))
+
+    return F.when((F.length(marks) > 0) & (F.size(findings) > 0), shifted(findings, back)).otherwise(findings)
 
 
 def merged(spans: Column) -> Column:

@@ -79,7 +79,7 @@ def email_address(text: Column, cfg: Limit = Limit()) -> Column:
     def body(c):
         found = F.transform(F.filter(F.slice(c, 1, n), valid), hit)
         at = c[n]["start"] + F.length(local(c[n]["m"]))
-        over = finding("pii.email_address", "medium", "block", at, F.length(text), "Email-address candidate inspection limit exceeded.", None, {"reason": "candidate_limit_exceeded", "limit": str(n), **common})
+        over = finding("pii.email_address", "high", "block", at, F.length(text), "Email-address candidate inspection limit exceeded.", None, {"reason": "candidate_limit_exceeded", "limit": str(n), **common})
         return F.concat(found, F.when(F.size(c) > n, F.array(over)).otherwise(none()))
 
     return F.when(F.contains(text, F.lit("@")), let(F.transform(candidates(text, pattern, n), trimmed), body)).otherwise(none())

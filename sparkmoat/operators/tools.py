@@ -145,7 +145,7 @@ def check_calls(calls: DataFrame, allowed: list[Tool], bounds: Bounds = Bounds()
     def check(names: pd.Series, arguments: pd.Series) -> pd.DataFrame:
         def one(name, text):
             if name not in tools:
-                return "tool_not_allowed", "name", None
+                return "tool_not_allowed", "tool", None
             schema = tools[name]
             try:
                 value = None if text is None else json.loads(text)
@@ -179,13 +179,13 @@ def _first_hit(rows: DataFrame, scope: str, config: engine.Config) -> DataFrame:
 
 #: The checks of a batch of results, in their order.
 RESULT_REASONS = (
-    "expected_call_limit_exceeded", "result_limit_exceeded", "expected_call_id_missing", "expected_call_id_duplicate", "call_id_missing", "call_id_duplicate", "call_id_unmatched",
-    "name_missing", "name_mismatch", "node_limit_exceeded", "depth_limit_exceeded", "string_limit_exceeded", "object_limit_exceeded", "array_limit_exceeded", "content_policy_violation",
+    "expected_call_limit_exceeded", "result_limit_exceeded", "expected_call_id_missing", "expected_call_id_duplicate", "result_call_id_missing", "result_call_id_duplicate", "result_call_id_unmatched",
+    "result_name_missing", "result_name_mismatch", "node_limit_exceeded", "depth_limit_exceeded", "string_limit_exceeded", "object_limit_exceeded", "array_limit_exceeded", "content_policy_violation",
 )
 
 
 def check_results(expected: DataFrame, results: DataFrame, max_expected: int = 128, max_results: int = 128, bounds: Bounds = Bounds(), inspect_content: bool = True, content: engine.Config | None = None) -> DataFrame:
-    """(batch_id, reason): for every batch of ``results`` its first violation, or null.
+    """(batch_id, reason, location): for every batch its first violation, or null.
 
     expected (batch_id, call_id, name); results (batch_id, position, call_id,
     name, content as JSON text). Limits and the expected calls come first,
@@ -204,9 +204,9 @@ def check_results(expected: DataFrame, results: DataFrame, max_expected: int = 1
     problems = [
         problem("expected_call_limit_exceeded", wanted.where(F.col("n") > max_expected)), problem("result_limit_exceeded", sizes.where(F.col("n") > max_results)),
         problem("expected_call_id_missing", wanted.where("named < n")), problem("expected_call_id_duplicate", wanted.where("ids < named")),
-        problem("call_id_missing", linked.where("call_id is null"), at), problem("call_id_duplicate", linked.where("call_id is not null and __nth > 1"), at),
-        problem("call_id_unmatched", linked.where("call_id is not null and __known is null"), at), problem("name_missing", linked.where("__known and name is null and __want is not null"), at),
-        problem("name_mismatch", linked.where("__known and name <> __want"), at),
+        problem("result_call_id_missing", linked.where("call_id is null"), at), problem("result_call_id_duplicate", linked.where("call_id is not null and __nth > 1"), at),
+        problem("result_call_id_unmatched", linked.where("call_id is not null and __known is null"), at), problem("result_name_missing", linked.where("__known and name is null and __want is not null"), at),
+        problem("result_name_mismatch", linked.where("__known and name <> __want"), at),
     ]
 
     @F.pandas_udf("reason string, strings array<string>")
@@ -232,4 +232,7 @@ def check_results(expected: DataFrame, results: DataFrame, max_expected: int = 1
     for p in problems[1:]:
         found = found.unionAll(p)
     first = found.groupBy("batch_id").agg(F.min("p").alias("p"))
-    return sizes.select("batch_id").join(first, "batch_id", "left").select("batch_id", F.col("p.reason").alias("reason"))
+    reason = F.col("p.reason")
+    location = F.when(reason.startswith("expected_"), "expected_calls").when(reason.startswith("result_"), "results").when(reason.isNotNull(), "content")
+    every = sizes.select("batch_id").unionAll(wanted.select("batch_id")).distinct()
+    return every.join(first, "batch_id", "left").select("batch_id", reason.alias("reason"), location.alias("location"))

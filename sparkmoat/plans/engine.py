@@ -139,7 +139,7 @@ def _usable(df: DataFrame, config: Config) -> DataFrame:
     ok = F.col("text").isNotNull() & (F.length("text") <= config.max_input_chars)
     if "prompt_context" in df.columns:
         ok = ok & (F.col("prompt_context").isNull() | (F.col("scope") == "output"))
-    return df.withColumn("__ok", ok).withColumn("__norm", F.when(ok, S.normalized(F.col("text")))).withColumn("__crlf", S.crlf_places(F.coalesce("text", F.lit("")))).withColumn("__odd", catalyst.hidden(F.col("__norm")))
+    return df.withColumn("__ok", ok).withColumn("__norm", F.when(ok, S.normalized(F.col("text")))).withColumn("__crlf", S.crlf_marks(F.coalesce("text", F.lit("")))).withColumn("__odd", catalyst.hidden(F.col("__norm")))
 
 
 def scan(df: DataFrame, config: Config) -> DataFrame:

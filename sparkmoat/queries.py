@@ -361,14 +361,14 @@ def tool_call(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("tool_result_linkage", """WITH r AS (SELECT conv_id AS batch_id, count(*) AS n, count(DISTINCT turn // 4) AS ids FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
-    SELECT batch_id, CASE WHEN batch_id % 5 = 1 THEN 'call_id_unmatched' WHEN batch_id % 5 = 2 THEN 'name_mismatch' WHEN n > ids THEN 'call_id_duplicate' END AS reason FROM r""")
+    SELECT batch_id, CASE WHEN batch_id % 5 = 1 THEN 'result_call_id_unmatched' WHEN batch_id % 5 = 2 THEN 'result_name_mismatch' WHEN n > ids THEN 'result_call_id_duplicate' END AS reason, CASE WHEN batch_id % 5 IN (1, 2) OR n > ids THEN 'results' END AS location FROM r""")
 def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     key = F.concat(F.lit("k"), F.floor(F.col("turn") / 4))
     expected = said.select(F.col("conv_id").alias("batch_id"), key.alias("call_id"), F.lit("search").alias("name")).distinct()
     got = said.select(F.col("conv_id").alias("batch_id"), F.col("turn").cast("long").alias("position"), F.when(F.col("conv_id") % 5 == 1, F.lit("zz")).otherwise(key).alias("call_id"),
                       F.when(F.col("conv_id") % 5 == 2, "write").otherwise("search").alias("name"), F.to_json(F.struct("text")).alias("content"))
-    return tools.check_results(expected, got, inspect_content=False).select("batch_id", "reason")
+    return tools.check_results(expected, got, inspect_content=False).select("batch_id", "reason", "location")
 
 
 @query("stream_buffered_equals_batch", "SELECT doc_id, length(coalesce(text, '')) AS n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents")

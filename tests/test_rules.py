@@ -160,3 +160,75 @@ def test_findings_table(spark):
     long = findings_long(df).orderBy("doc_id", "ordinal").select("doc_id", "ordinal", "rule_id").collect()
     assert [tuple(r) for r in long] == [(0, 0, "pii.payment_card"), (0, 1, "pii.phone_number")]
     assert engine.scan(df.select("doc_id", "text", "scope").where(F.lit(False)), engine.preset("default")).count() == 0
+
+
+# -- values and times that the rules' descriptions ask for ---------------------
+
+
+def _spans(found):
+    return [(f["start"], f["end"], f["metadata"]["reason"]) for f in found]
+
+
+def test_authorization_placeholders():
+    kept = [f["metadata"]["syntax"] for t in ("Authorization: Basic ${token}", "Authorization: Bearer {{token}}", "curl -H 'Authorization: Basic <credential>'", '{"authorization" : "Bearer ab$"}') for f in py.authorization_header(t)]
+    assert kept == ["header", "header", "curl", "json"]
+    assert not [f for t in ("Authorization: Bearer <token>", "Authorization: basic Your Token", "x Authorization: Bearer abc", 'say "authorization": "Bearer abc"') for f in py.authorization_header(t)]
+    found = py.authorization_header("a\nauthorization:Bearer  abc.def \r\n\tAUTHORIZATION: basic dTpw")
+    assert _spans(found) == [(24, 31, "authorization_credential"), (56, 60, "authorization_credential")]
+
+
+def test_address_tokens():
+    found = {t: _spans(py.ip_address(t)) for t in ("2001:db8::1:", "::1", ":2001:db8::1 x", "1.2.3.4.", "1.2.3.4..x", "1.2.3.4.x", "a1.2.3.4", "v1.2.3.4", "1.2.3.4-5", "[::ffff:1.2.3.4]", "x::1")}
+    assert [t for t in found if found[t]] == ["::1", ":2001:db8::1 x", "1.2.3.4.", "1.2.3.4..x", "[::ffff:1.2.3.4]"]
+    assert [(f["severity"], f["metadata"]["reason"]) for f in py.ip_address("1.2.3.4 5.6.7.8", max_candidates=1)] == [("medium", "canonical_ip_address"), ("high", "candidate_limit_exceeded")]
+    assert [f["severity"] for f in py.ip_address("1:" * 30)] == ["high"]
+
+
+def test_jwt_families_and_numbers():
+    import base64
+    import json
+
+    part = lambda x: base64.urlsafe_b64encode(x.encode()).rstrip(b"=").decode()
+    token = lambda alg, claims: ".".join((part(json.dumps({"alg": alg, "typ": "JWT"})), part(claims), "" if alg.lower() == "none" else part("sig")))
+    for alg, family in (("hs256", "hmac"), ("RS512", "rsa"), ("ps256", "rsa_pss"), ("Es256", "ecdsa"), ("eddsa", "eddsa"), ("EdDSAx", "other"), ("nonesuch", "other"), ("NONE", "none")):
+        assert [f["metadata"]["algorithm_family"] for f in py.jwt_token(token(alg, '{"iss": "x"}'))] == [family]
+    assert len(py.jwt_token(token("HS256", '{"exp": ' + "9" * 5000 + "}"))) == 1
+
+
+def test_hosts():
+    assert py.normalize_hostname("Example.COM.") == "example.com" and py.normalize_hostname("2001:0db8::0001", allow_ip=True) == "2001:db8::1"
+    for bad in ("example.com..", "", "-a.com"):
+        with pytest.raises(ValueError):
+            py.normalize_hostname(bad)
+    risks = lambda url, **policy: [f["metadata"]["risk_types"] for f in py.unsafe_url(url, **policy)]
+    assert risks("http://u:p@LOCALHOST/") == ["embedded_userinfo,local_hostname"] and risks("http://0x7f.1/") == ["ambiguous_numeric_host"] and risks("http://10.0.0.1/") == ["non_public_ip_literal"]
+    assert risks("http://a\\b/ http://metadata.google.internal/x") == ["ambiguous_authority", "cloud_metadata_hostname"]
+    assert risks("http://a.example.com/ http://b.org/", allowed=("b.org",)) == ["hostname_not_allowed"] and risks("http://x.b.org", denied_suffixes=("b.org",)) == ["denied_hostname_suffix"]
+
+
+def test_connection_strings():
+    found = py.connection_string("POSTGRES://u:secret@h/db xredis://u:p@h mongodb+srv://u:a@b@h server=a;pwd=abc;x=1")
+    assert [(f["metadata"]["scheme"], f["metadata"]["credential_form"]) for f in found] == [("postgres", "uri_userinfo"), ("mongodb+srv", "uri_userinfo"), ("keyword", "keyword_pair")]
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    py.connection_string("pwd=ab;" * 60_000 + "server=x;")
+    py.external_resource("\\![" * 200_000)
+    py.authorization_header(" authorization: x" * 100_000)
+    py.ip_address("1." * 400_000 + " " + "a:" * 300_000)
+    assert time.time() - began < 20
+
+
+def test_line_ends_take_linear_time(spark):
+    import time
+
+    lines = 200_000
+    text = "some,text,here\r\n" * lines + "card 4111 1111 1111 1111\r\nend"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").withColumn("scope", F.lit("input"))
+    began = time.time()
+    got = engine.scan(df, engine.only("pii.payment_card")).select("findings").first()[0]
+    assert time.time() - began < 60
+    assert [text[f.start : f.end] for f in got] == ["4111 1111 1111 1111"]

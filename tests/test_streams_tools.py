@@ -98,4 +98,4 @@ def test_tool_results(spark):
         "batch_id long, position long, call_id string, name string, content string",
     )
     got = {r.batch_id: r.reason for r in tools.check_results(expected, results, content=engine.preset("default")).collect()}
-    assert got == {0: None, 1: "call_id_unmatched", 2: "name_mismatch", 3: "call_id_duplicate", 4: "content_policy_violation", 5: "expected_call_id_duplicate"}
+    assert got == {0: None, 1: "result_call_id_unmatched", 2: "result_name_mismatch", 3: "result_call_id_duplicate", 4: "content_policy_violation", 5: "expected_call_id_duplicate"}
