@@ -41,11 +41,11 @@ DESCRIBED = {
     "unicode.bidi_controls": ("Detect explicit Unicode bidirectional formatting controls.", BOTH, "default"),
     "unicode.invisible_characters": ("Detect removable invisible characters embedded in ASCII tokens.", INPUT, "default"),
     "unicode.tag_smuggling": ("Detect invisible Unicode tag runs outside emoji flags.", INPUT, "default"),
-    "pii.email_address": ("Detect conservative ASCII email addresses.", INPUT, "opt_in"),
-    "pii.ip_address": ("Detect canonical IP addresses.", INPUT, "opt_in"),
-    "pii.mac_address": ("Detect EUI-48 hardware addresses.", INPUT, "opt_in"),
-    "pii.iban": ("Detect IBANs of registered countries.", INPUT, "opt_in"),
-    "pii.phone_number": ("Detect global phone numbers.", INPUT, "opt_in"),
+    "pii.email_address": ("Detect conservative ASCII email addresses.", BOTH, "opt_in"),
+    "pii.ip_address": ("Detect canonical IP addresses.", BOTH, "opt_in"),
+    "pii.mac_address": ("Detect EUI-48 hardware addresses.", BOTH, "opt_in"),
+    "pii.iban": ("Detect IBANs of registered countries.", BOTH, "opt_in"),
+    "pii.phone_number": ("Detect global phone numbers.", BOTH, "opt_in"),
     "secrets.authorization_header": ("Detect Basic and Bearer credentials.", BOTH, "opt_in"),
     "secrets.connection_string": ("Detect credentials embedded in connection strings.", BOTH, "opt_in"),
     "secrets.credential_assignment": ("Detect credentials assigned to named fields.", BOTH, "opt_in"),
@@ -57,6 +57,8 @@ DESCRIBED = {
     "tools.call.validity": ("Validate tool allowlisting and bounded typed arguments.", ("tool_call",), "explicit"),
     "tools.result.validity": ("Validate tool-result linkage and resource use.", ("tool_result",), "explicit"),
 }
+#: Rules that can't run without a value of the deployment's own.
+DEPLOYMENT_VALUE = ("content.banned_substrings", "tools.call.validity")
 DEFAULT = tuple(r for r, d in DESCRIBED.items() if d[2] == "default")
 PRIVACY = ("pii.ip_address", "pii.mac_address", "pii.iban", "pii.email_address", "pii.phone_number")
 
@@ -101,7 +103,8 @@ def preset(name: str, policy: Policy = BALANCED, banned: LiteralCatalog | None =
     extra = {"default": (), "privacy-input": PRIVACY, "json-api": ("output.json.validity", "url.unsafe")}
     if name not in extra:
         raise ValueError(f"no preset {name!r}")
-    return only(*DEFAULT, *extra[name], policy=policy, name=name)
+    rules = {r: (INPUT if r in PRIVACY else DESCRIBED[r][1], {}) for r in (*DEFAULT, *extra[name])}
+    return Config(rules, policy, name=name)
 
 
 def _scoped(scope: Column, scopes: tuple[str, ...], text: Column, rule: Callable[[Column], Column]) -> Column:
@@ -213,8 +216,8 @@ def inspect(df: DataFrame, config: Config) -> DataFrame:
 
 
 def available_rules(spark: SparkSession) -> DataFrame:
-    rows = [(r, purpose, list(scopes), activation) for r, (purpose, scopes, activation) in DESCRIBED.items()]
-    return spark.createDataFrame(rows, "rule_id string, purpose string, scopes array<string>, activation string")
+    rows = [(r, purpose, list(scopes), activation, r in DEPLOYMENT_VALUE) for r, (purpose, scopes, activation) in DESCRIBED.items()]
+    return spark.createDataFrame(rows, "rule_id string, purpose string, scopes array<string>, activation string, requires_deployment_value boolean")
 
 
 def available_presets(spark: SparkSession) -> DataFrame:

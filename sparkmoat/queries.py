@@ -7,6 +7,7 @@ maximal runs or simple patterns, with conditions on the characters around.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,14 @@ BANNED = LiteralCatalog("house-words", "1", (
 ))
 
 #: Text expressions valid in both engines, over customer with h = md5 of the key as text.
+def _token(header: str, claims: str, signature: str) -> str:
+    return ".".join(base64.urlsafe_b64encode(x.encode()).rstrip(b"=").decode() for x in (header, claims, signature))
+
+
+#: Tokens of four kinds of algorithm: by their type or by a registered claim, one of them with a very long number.
+_TOKENS = (
+    _token('{"alg": "hs256", "typ": "JWT"}', '{"k": 1}', "signed"), _token('{"alg": "none"}', '{"iss": "x"}', ""), _token('{"typ": "jwt", "alg": "EDDSA"}', "{}", "signed"), _token('{"alg": "nonesuch"}', '{"exp": ' + "7" * 5000 + "}", "signed"),
+)
 PLANTED = {
     "email": "concat('Contact user', c_custkey, '@mail.example.com or bad@x and a@b.com@c.com, x', c_custkey, '..y@d.org')",
     "mac": "concat('nic ', substr(h, 1, 2), ':', substr(h, 3, 2), ':', substr(h, 5, 2), ':', substr(h, 7, 2), ':', substr(h, 9, 2), ':', substr(h, 11, 2), ' and 00:11-22:33:44:55')",
@@ -38,6 +47,7 @@ PLANTED = {
     "header": "concat('GET /', chr(10), 'Authorization: Bearer ', h, '.', c_custkey, chr(10), 'X: y', chr(10), 'authorization: bearer <token>')",
     "dsn": "concat('url postgres://app:', h, '@db', c_custkey, '.example.com/x and redis://cache:<password>@r/0')",
     "assign": "concat('DB_PASSWORD=', h, chr(10), 'name=', c_custkey, chr(10), 'password=<password>', chr(10), 'api_key: abc')",
+    "jwt": "concat('id ', c_custkey, ' ', CASE c_custkey % 4 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TOKENS)) + " END, ' end')",
     "bidi": "concat('pay ', '\u202e', c_custkey, '\u202c', ' now ', '\u202e', '\u202d', 'z')",
     "invisible": "concat('pass', '\u200b', 'word', c_custkey, '\u200d', ' ', '\u200b', 'x a', '\u200b', '\ufeff', 'b')",
     "tags": "concat('hi', '\U000e0041', '\U000e0062', ' there ', c_custkey)",
@@ -151,6 +161,8 @@ _secret_meta = f"'catalog_id={BUILTIN.catalog_id};catalog_version={BUILTIN.versi
 rule_query("secrets_catalog", "secrets.detected", "secret", found_sql("secrets.detected", "high", "redact", _secret_meta.replace(";signature_id", ";signature_id"), f"FROM {spans_sql(planted_sql('secret'), '[A-Za-z0-9_-]+')} WHERE regexp_full_match(m, 'sk-[A-Za-z0-9_-]{{20,}}|ghp_[A-Za-z0-9]{{36}}')"))
 _bearer = f"(SELECT doc_id, text, strpos(text, 'Bearer ') + 6 AS s, strpos(text, chr(10) || 'X:') - 1 AS e FROM {planted_sql('header')})"
 rule_query("authorization_header", "secrets.authorization_header", "header", found_sql("secrets.authorization_header", "high", "redact", "'detector=bounded_authorization_header;reason=authorization_credential;scheme=bearer;span_basis=characters;syntax=header'", f"FROM {_bearer}"))
+_jwt = f"""FROM (SELECT doc_id, 4 + length(CAST(doc_id AS VARCHAR)) AS s, length(text) - 4 AS e, ['hmac', 'none', 'eddsa', 'other'][CAST(doc_id % 4 AS INTEGER) + 1] AS family, CASE WHEN doc_id % 2 = 0 THEN 'jwt_type_header' ELSE 'registered_claim' END AS reason FROM {planted_sql('jwt')})"""
+rule_query("jwt_token", "secrets.jwt_token", "jwt", found_sql("secrets.jwt_token", "high", "redact", "'algorithm_family=' || family || ';detector=compact_jwt_structure;reason=' || reason || ';span_basis=characters;token_chars=' || (e - s)", _jwt))
 _dsn = f"(SELECT doc_id, strpos(text, '://app:') + 6 AS s, strpos(text, '@db') - 1 AS e FROM {planted_sql('dsn')})"
 rule_query("connection_string", "secrets.connection_string", "dsn", found_sql("secrets.connection_string", "high", "redact", "'credential_form=uri_userinfo;detector=bounded_connection_string;reason=connection_string_credential;scheme=postgres;span_basis=characters'", f"FROM {_dsn}"))
 rule_query("credential_assignment", "secrets.credential_assignment", "assign", found_sql("secrets.credential_assignment", "high", "redact", "'detector=bounded_credential_assignment;reason=credential_assignment;span_basis=characters'", f"FROM (SELECT doc_id, 12 AS s, 44 AS e FROM {planted_sql('assign')})"))
@@ -242,9 +254,25 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy_table(spark)
 
 
-@query("available_rules", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{','.join(d[1])}', '{d[2]}')" for r, d in engine.DESCRIBED.items()) + ") AS t(rule_id, scopes, activation)")
+#: What is documented of the rules, apart from the engine's own table: (activation, scopes, rules).
+_DOCUMENTED = (
+    ("default", "input,output", "secrets.detected pii.payment_card secrets.private_key secrets.jwt_token unicode.bidi_controls"),
+    ("default", "input", "unicode.invisible_characters unicode.tag_smuggling"),
+    ("opt_in", "input,output", "pii.email_address pii.ip_address pii.mac_address pii.iban pii.phone_number secrets.authorization_header secrets.connection_string secrets.credential_assignment content.banned_substrings url.unsafe text.excessive_repetition"),
+    ("opt_in", "output", "output.external_resource output.json.validity"),
+    ("explicit", "tool_call", "tools.call.validity"),
+    ("explicit", "tool_result", "tools.result.validity"),
+)
+
+
+@query("available_rules", "SELECT rule_id, scopes, activation, rule_id IN ('content.banned_substrings', 'tools.call.validity') AS requires_deployment_value FROM (VALUES " + ", ".join(f"('{r}', '{scopes}', '{activation}')" for activation, scopes, names in _DOCUMENTED for r in names.split()) + ") AS t(rule_id, scopes, activation)")
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.available_rules(spark).select("rule_id", F.array_join("scopes", ",").alias("scopes"), "activation")
+    return engine.available_rules(spark).select("rule_id", F.array_join(F.array_sort("scopes"), ",").alias("scopes"), "activation", "requires_deployment_value")
+
+
+@query("available_presets", "SELECT * FROM (VALUES ('default', 7), ('privacy-input', 12), ('json-api', 9), ('all-text', 19)) AS t(preset, n_rules)")
+def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.available_presets(spark).select("preset", F.size("rules").alias("n_rules"))
 
 
 @query("capabilities", "SELECT * FROM (VALUES ('rules', 7), ('secret_signatures', 6), ('secret_prefixes', 13), ('secret_providers', 6), ('banned_literals', 0), ('policy_overrides', 28), ('max_input_chars', 8000000)) AS t(capability, value)")
