@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+", re.ASCII)
-#: Pieces of a text handled at once, distinct words remembered, characters of texts handled together.
-PIECES, REMEMBERED, TOGETHER = 200_000, 300_000, 1 << 20
+#: Pieces of a text handled at once, distinct words and their characters remembered, characters of texts handled together.
+PIECES, REMEMBERED, LETTERS, TOGETHER = 200_000, 300_000, 1 << 23, 1 << 20
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -69,6 +69,7 @@ class ByteBPE:
         self.longest = max(map(len, self.known), default=1)
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.memory: dict[str, tuple[bytes, bytes]] = {}
+        self.letters = 0
         self.good: dict[int, bool] = {}
         self.merged = 0
 
@@ -164,6 +165,7 @@ class ByteBPE:
             for w in np.unique(owner[1:][inner][~ok[back]]):
                 guesses[w] = self.merge(raw[w])
                 self.merged += 1
+        self.letters += sum(map(len, words))
         for w, b, g in zip(words, raw, guesses):
             self.memory[w] = (np.array(g, dtype=np.int32).tobytes(), b"".join([self.bytes[t] for t in g]))
 
@@ -187,8 +189,9 @@ class ByteBPE:
 
         def flush():
             nonlocal held
-            if len(self.memory) > REMEMBERED:
+            if len(self.memory) > REMEMBERED or self.letters > LETTERS:
                 self.memory.clear()
+                self.letters = 0
             new = set().union(*(p for _, p in waiting)) - self.memory.keys() if waiting else set()
             if new:
                 self.learn(list(new))

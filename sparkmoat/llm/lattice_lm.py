@@ -24,8 +24,8 @@ from .scratch import Scratch
 START = "▁".encode()
 #: Most words whose counts are sent to every executor; the others are joined.
 FREQUENT = 1 << 17
-#: Words counted together in a task, words of one lattice batch, bytes of a word up to which words are handled together.
-REMEMBERED, TOGETHER, SHORT = 200_000, 20_000, 48
+#: Words counted together in a task and the bytes of text that they come from, words of one lattice batch, bytes of a word up to which words are handled together.
+REMEMBERED, READ, TOGETHER, SHORT = 200_000, 1 << 26, 20_000, 48
 ROUNDS, SMOOTH = 2, 0.05
 _U = np.uint64
 
@@ -173,12 +173,14 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches):
         seen: Counter = Counter()
+        read = 0
         for b in batches:
             for words in _texts(b.column(0)):
                 seen.update(words)
-                if len(seen) > REMEMBERED:
+                read += sum(map(len, words))
+                if len(seen) > REMEMBERED or read > READ:
                     yield pa.RecordBatch.from_arrays([pa.array([*seen.keys()], pa.binary()).cast(pa.string()), pa.array([*seen.values()], pa.int64())], names=["word", "c"])
-                    seen = Counter()
+                    seen, read = Counter(), 0
         yield pa.RecordBatch.from_arrays([pa.array([*seen.keys()], pa.binary()).cast(pa.string()), pa.array([*seen.values()], pa.int64())], names=["word", "c"])
 
     return docs.select(text_col).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))

@@ -8,7 +8,7 @@ import corpus_pipeline
 from sparkmoat.llm import toxicity
 from sparkmoat.llm.sampling import remainder
 
-from .test_operators import contamination_by_hand, near_by_hand, norm
+from .test_operators import contamination_by_hand, near_by_hand, norm, prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +33,21 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
     assert corpus_pipeline.STAGES[1][1](spark, docs.where(F.lit(False)), SF).count() == 0
+
+
+def test_pipeline_awkward(spark, tmp_path):
+    """Null, empty, repeated and equal texts, null ids, and columns with the names that stages use inside; then an empty table."""
+    a, b = prose(80, 31), prose(80, 32)
+    rows = [(1, a), (2, a.upper()), (3, a + " more"), (4, None), (5, ""), (6, b), (6, b), (None, b + " end"), (7, prose(40, 33) + " planted passage of one item here " + prose(30, 34)), (8, "   "), (9, prose(30_000, 35))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("__i", "__s", "__m", "__score", "score", "kept", "keep_id", "items", "id", "n", "component", "token"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "planted passage of one item here"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id if r.doc_id is not None else -1) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    # Of 1 and 2 the larger id stays, 3 is a near copy of it; of 4 and 5 one empty text stays; a repeated row stays once; without an id nothing is linked.
+    assert got == [-1, 2, 5, 6, 8, 9]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        assert stage(spark, docs.where(F.lit(False)), str(tmp_path)).count() == 0
