@@ -419,6 +419,27 @@ def test_passages_first(spark):
     assert held[0] & held[1] & held[2]
 
 
+def test_passages_midline_recall():
+    """Passages that start mid-line and are equal from 33 words on, or similar (0.8) from 50 on, share a window."""
+    r = random.Random(5)
+
+    def windows(w):
+        text = " ".join([*(r.choice(VOCAB) for _ in range(r.randint(30, 60))), *w, *(r.choice(VOCAB) for _ in range(r.randint(30, 60)))])
+        return {int(x) for _, _, (_, _, core) in paragraph_dedup._found(pa.array([text]), 5, 80, 2) for x in core}
+
+    for size, edits, least in ((33, 0, 1.0), (40, 0, 1.0), (50, 1, 0.9), (60, 1, 0.95), (120, 2, 0.95)):
+        met = n = 0
+        while n < 100:
+            w = [r.choice(VOCAB) for _ in range(size)]
+            v = w[:]
+            for _ in range(edits):
+                v[r.randrange(size)] = "changed"
+            x, y = shingles(" ".join(w), 5), shingles(" ".join(v), 5)
+            if len(x & y) >= 0.8 * len(x | y):
+                met, n = met + bool(windows(w) & windows(v)), n + 1
+        assert met >= least * n
+
+
 def test_passages_lines(spark):
     short, text = prose(9, 501), prose(30, 502)
     rows = [(i, prose(12 + i, 510 + i) + "\n" + (short if i < 3 else prose(9, 520 + i)) + ".\r\n" + prose(14, 530 + i)) for i in range(6)] + [(6, text), (7, text), (8, "\n\n" + short)]
