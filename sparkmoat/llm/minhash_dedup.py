@@ -364,7 +364,8 @@ def _components(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, w
     rare = _crowded(scratch, docs, id_col, text_col, width, percent, scratch.put(crowd, "crowd"))
     more = _confirm(scratch, *args, across.unionAll(rare).distinct())
     scratch.drop(met, named, mixed)
-    links = edges.unionAll(more)
+    # The first links are stars by now, so only what the second add takes rounds.
+    links = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more)
     labels = scratch.put(components(scratch, links), "labels")
 
     known = scratch.put(classes.join(labels, F.col("rep") == F.col("id"), "left").select("hi", "lo", "n", "copies", F.coalesce("component", "rep").alias("component_id")), "known")

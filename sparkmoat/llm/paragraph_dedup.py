@@ -254,7 +254,7 @@ def _clusters(scratch: Scratch, classes: DataFrame, percent: int) -> DataFrame:
     across = salted_pairs(here.where("comp <> major"), here, "band", "para", ("para", "comp", "n", *_MAPS), n_banded).where(may)
     more = _similar(scratch, across.select(F.least("para", "para2").alias("a"), F.greatest("para", "para2").alias("b")).distinct(), classes, percent)
     scratch.drop(named, here)
-    return scratch.put(components(scratch, edges.unionAll(more)), "labels")
+    return scratch.put(components(scratch, labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more)), "labels")
 
 
 def _spans(batches):

@@ -114,34 +114,33 @@ def salted_pairs(few: DataFrame, many: DataFrame, key: str, spread: str, columns
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): (id, component) for every id of an edge, component its smallest reachable id.
 
-    Alternating large-star and small-star steps; each round is one written
-    table, and hub ids with very many edges are salted.
+    Alternating large-star and small-star steps until every id has one edge, to
+    an id without one; edges that are such stars already need no round. Each
+    round is one written table, and hub ids with very many edges are salted.
     """
 
     def lowest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
 
-    def signature(df: DataFrame) -> tuple:
-        r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        return r[0], r[1]
+    def state(df: DataFrame) -> tuple:
+        """The number of edges, and of ids that keep them from being stars around their smallest ids."""
+        ends = df.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(df.select("v", F.lit(0), F.lit(1)))
+        ids = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return tuple(ids.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0))).first())
 
     # u > v throughout
     now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = signature(now)
-    while seen[0]:
+    total, tangled = state(now)
+    while tangled:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         mins = scratch.put(lowest(both), "mins")
-        large = salted_join(both.where("v > u"), mins, ["u"], "v", "deg", 2 * seen[0]).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = salted_join(both.where("v > u"), mins, ["u"], "v", "deg", 2 * total).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         large = scratch.put(large, "large")
         mins2 = scratch.put(lowest(large), "mins2")
-        total = 2 * seen[0]
-        small = salted_join(large, mins2, ["u"], "v", "deg", total).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = salted_join(large, mins2, ["u"], "v", "deg", 2 * total).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after = scratch.put(small, "edges")
-        got = signature(after)
         scratch.drop(now, mins, large, mins2)
         now = after
-        if got == seen:
-            break
-        seen = got
+        total, tangled = state(now)
     labels = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
     return labels.unionAll(labels.select("component").distinct().select(F.col("component").alias("id"), "component"))
