@@ -71,6 +71,29 @@ def _check_schema(s: dict, depth: int, seen: list[int]) -> None:
         _check_schema(s["items"], depth + 1, seen)
 
 
+def _pairs(pairs: list[tuple]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a key stands twice")
+    return found
+
+
+def _number(text: str) -> float:
+    found = float(text)
+    if found in (float("inf"), float("-inf")):
+        raise ValueError("a number is too large")
+    return found
+
+
+def _no_number(text: str):
+    raise ValueError(f"{text} is no JSON number")
+
+
+def read_json(text: str):
+    """The value of a JSON text with finite numbers and keys that stand once; ValueError or RecursionError for any other."""
+    return json.loads(text, object_pairs_hook=_pairs, parse_float=_number, parse_constant=_no_number)
+
+
 def _fits(value, kind: str) -> bool:
     if kind == "integer":
         return type(value) is int
@@ -136,6 +159,9 @@ def strings(value) -> list[str]:
 def check_calls(calls: DataFrame, allowed: list[Tool], bounds: Bounds = Bounds(), content: engine.Config | None = None) -> DataFrame:
     """``calls`` (name, arguments as JSON text, further columns) with ``reason`` and ``location``, null for a call that may run.
 
+    Arguments that aren't strict JSON (a repeated key, a number that isn't
+    finite) have a mismatched type.
+
     content: rules for the strings of calls that are otherwise fine, scanned
     as outputs; it needs a unique column ``call_key``.
     """
@@ -148,7 +174,7 @@ def check_calls(calls: DataFrame, allowed: list[Tool], bounds: Bounds = Bounds()
                 return "tool_not_allowed", "tool", None
             schema = tools[name]
             try:
-                value = None if text is None else json.loads(text)
+                value = None if text is None else read_json(text)
             except (ValueError, RecursionError):
                 return "type_mismatch", "arguments", None
             if schema is None:
@@ -188,7 +214,7 @@ def check_results(expected: DataFrame, results: DataFrame, max_expected: int = 1
     """(batch_id, reason, location): for every batch its first violation, or null.
 
     expected (batch_id, call_id, name); results (batch_id, position, call_id,
-    name, content as JSON text). Limits and the expected calls come first,
+    name, content as JSON text; what isn't strict JSON is one string). Limits and the expected calls come first,
     then each result in its order, then sizes and contents.
     """
     rank = {r: i for i, r in enumerate(RESULT_REASONS)}
@@ -213,7 +239,7 @@ def check_results(expected: DataFrame, results: DataFrame, max_expected: int = 1
     def check(contents: pd.Series) -> pd.DataFrame:
         def one(text):
             try:
-                value = json.loads(text) if text is not None else None
+                value = read_json(text) if text is not None else None
             except (ValueError, RecursionError):
                 value = text
             found = check_value(value, None, bounds)

@@ -8,13 +8,14 @@ those of the whole text.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.literals import LITERALS, SECRETS, _class, _escape  # noqa: F401
+from ..plans.engine import Config
 from ..sources.catalogs import BUILTIN, SecretCatalog
 from ..sources.texts import MAX_INPUT_CHARS
 
@@ -24,6 +25,12 @@ HOLD, CONTEXT, CARDS = 42, 2, 128
 MARKER = "[REDACTED]"
 #: Rules that can be redacted as chunks come.
 INCREMENTAL = ("secrets.detected", "pii.payment_card")
+#: Suffix characters at most of a signature with a bound; a longer one would be held back too long.
+LONGEST_SUFFIX = 65_536
+
+
+class TooLong(ValueError):
+    """A stream has more characters than its limit."""
 
 
 def luhn(digits: str) -> bool:
@@ -58,12 +65,41 @@ def resolve_mode(rules: dict[str, tuple[str, ...]], asked: str = "auto") -> str:
     return "incremental" if possible and asked != "buffered" else "buffered"
 
 
+def possible_actions(config: Config, scope: str) -> dict[str, tuple[str, ...]]:
+    """{rule: actions that its findings in ``scope`` can end with}. Without an override a finding keeps its own action, and too many findings block."""
+    own = {"pii.payment_card": {"redact"}, "secrets.detected": {s.action for s in config.secrets.signatures}}
+    forced = {r: a for r, s, a in config.policy.overrides if s == scope}
+    return {r: (forced[r],) if r in forced else tuple(sorted(own.get(r, set()) | {"block"})) for r, (scopes, _) in config.rules.items() if scope in scopes}
+
+
+def check_catalog(catalog: SecretCatalog) -> None:
+    """Refuses signatures whose end can't be told while chunks come. A deployment's own catalog is held to that; of the built-in one, runs are held back whole until they end."""
+    for s in catalog.signatures:
+        if s.max_suffix_chars is None:
+            if s.suffix_ending or s.boundary_chars and set(s.boundary_chars) != set(s.suffix_chars):
+                raise ValueError(f"signature {s.signature_id}: without a bound, the suffix needs the boundary's characters and no ending")
+        elif s.max_suffix_chars > LONGEST_SUFFIX:
+            raise ValueError(f"signature {s.signature_id}: the suffix is longer than {LONGEST_SUFFIX} characters")
+
+
+def redactor(config: Config | None, scope: str) -> "Redactor":
+    """A new stream's redactor; refuses a configuration that needs whole texts."""
+    if config is None:
+        return Redactor()
+    actions = possible_actions(config, scope)
+    resolve_mode(actions, "incremental")
+    if config.secrets != BUILTIN:
+        check_catalog(config.secrets)
+    return Redactor(config.secrets, config.max_input_chars, tuple(actions))
+
+
 @dataclass
 class Redactor:
     """One stream's state. feed() and finish() return what may leave."""
 
     catalog: SecretCatalog = BUILTIN
     max_chars: int = MAX_INPUT_CHARS
+    rules: tuple[str, ...] = INCREMENTAL
     tail: str = ""  # the end of what has come, with CONTEXT characters in front of ``seen``
     at: int = 0  # place of the tail's first character in the whole text
     seen: int = 0  # matches that start before this place have been dealt with
@@ -77,14 +113,14 @@ class Redactor:
     def _matches(self, text: str):
         cards = ((m.start(), m.end(), "pii.payment_card", is_card(m.group())) for m in CARD.finditer(text))
         secrets = ((m.start(), m.end(), "secrets.detected", True) for m in secret_pattern(self.catalog).finditer(text))
-        return sorted([*cards, *secrets])
+        return sorted(m for m in (*cards, *secrets) if m[2] in self.rules)
 
     def feed(self, chunk: str) -> str:
         if self.state != "open":
             raise ValueError(f"the stream is {self.state}")
         if self.at + len(self.tail) + len(chunk) > self.max_chars:
             self.cancel()
-            raise ValueError("the stream exceeds its limit")
+            raise TooLong("the stream exceeds its limit")
         self.tail += chunk
         return self._release(False)
 
@@ -162,37 +198,61 @@ def joined_chunks(chunks: DataFrame) -> DataFrame:
     return whole.select("stream_id", F.array_join(F.transform("c", lambda x: x["chunk"]), "").alias("text"))
 
 
-def redact_chunks(chunks: DataFrame, catalog: SecretCatalog = BUILTIN) -> DataFrame:
-    """(stream_id, output, n_found): the incremental mode over a table of chunks, each stream replayed in order."""
+def _fed(r: Redactor, chunk: str | None, last: bool) -> str | None:
+    """What may leave; null from the chunk on that makes the stream too long. A null chunk is empty."""
+    if r.state == "cancelled":
+        return None
+    try:
+        return r.feed(chunk if isinstance(chunk, str) else "") + (r.finish() if last else "")
+    except TooLong:
+        return None
+
+
+def redact_chunks(chunks: DataFrame, config: Config | None = None, scope: str = "input") -> DataFrame:
+    """(stream_id, output, n_found): the incremental mode over a table of chunks, each stream replayed in order.
+
+    config: the rules; without it both incremental rules with the built-in
+    catalog. One that asks for anything but redacting them is refused. A
+    stream that is too long has a null output; a null chunk is empty.
+    """
+    new = redactor(config, scope)
 
     def run(key, frame):
-        r = Redactor(catalog)
-        out = [r.feed(c) for c in frame.sort_values("seq")["chunk"]]
-        out.append(r.finish())
-        return pd.DataFrame({"stream_id": [key[0]], "output": ["".join(out)], "n_found": [len(r.found)]})
+        r, chunks = replace(new, found=[], counts={}), frame.sort_values("seq")["chunk"].tolist()
+        out = [_fed(r, c, i == len(chunks) - 1) for i, c in enumerate(chunks)]
+        return pd.DataFrame({"stream_id": [key[0]], "output": [None if r.state == "cancelled" else "".join(out)], "n_found": [len(r.found)]})
 
     return chunks.groupBy("stream_id").applyInPandas(run, f"stream_id {dict(chunks.dtypes)['stream_id']}, output string, n_found long")
 
 
-def redact_stream(chunks: DataFrame, catalog: SecretCatalog = BUILTIN) -> DataFrame:
+def redact_stream(chunks: DataFrame, config: Config | None = None, scope: str = "input", idle_ms: int | None = None) -> DataFrame:
     """A streaming table of chunks (stream_id string, seq, chunk, is_last) -> (stream_id, seq, output): each stream's redactor is its state, and goes when its last chunk came.
 
     Chunks of one micro-batch are put in order by seq; across micro-batches
-    they have to come in order.
+    they have to come in order. config, scope and null chunks: as for
+    ``redact_chunks``. From the chunk on that makes a stream too long its
+    outputs are null; other streams go on. idle_ms: a stream without a chunk
+    for so long is cancelled, what it held back never leaves, and a later
+    chunk begins it anew; None keeps it until its last chunk.
     """
     import pickle
 
+    new = redactor(config, scope)
+
     def run(key, frames, state):
-        r = pickle.loads(state.get[0]) if state.exists else Redactor(catalog)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        r = pickle.loads(state.get[0]) if state.exists else replace(new, found=[], counts={})
         rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        for seq, chunk, last in zip(rows["seq"], rows["chunk"], rows["is_last"]):
-            text = r.feed(chunk) + (r.finish() if last else "")
-            out.append((key[0], int(seq), text))
-        if r.state == "open":
-            state.update((pickle.dumps(r),))
+        out = [(key[0], int(seq), _fed(r, chunk, last)) for seq, chunk, last in zip(rows["seq"], rows["chunk"], rows["is_last"])]
+        if rows["is_last"].any():
+            if state.exists:
+                state.remove()
         else:
-            state.remove()
+            state.update((pickle.dumps(r),))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["stream_id", "seq", "output"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, output string", "redactor binary", "append", "NoTimeout")
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, output string", "redactor binary", "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")

@@ -1,11 +1,15 @@
 """Streams equal the batch result for any chunks; tool calls and results."""
 
 import random
+import time
+from dataclasses import replace
 
 import pytest
 
 from sparkmoat.operators import tools
 from sparkmoat.plans import engine
+from sparkmoat.plans.policy import STRICT, Policy
+from sparkmoat.sources.catalogs import SecretCatalog, Signature
 from sparkmoat.streaming import incremental as inc
 
 
@@ -58,6 +62,46 @@ def test_limits_and_states():
         inc.resolve_mode({"pii.payment_card": ("redact", "block")}, "incremental")
 
 
+def test_modes_and_catalogs():
+    both = engine.only("pii.payment_card", "secrets.detected")
+    assert inc.resolve_mode(inc.possible_actions(both, "input")) == "incremental"
+    bare = both.with_policy(Policy("own", "1"))
+    assert inc.possible_actions(bare, "input") == {"pii.payment_card": ("block", "redact"), "secrets.detected": ("block", "redact")}
+    for refused in (bare, both.with_policy(STRICT), engine.only("pii.payment_card", "pii.iban")):
+        with pytest.raises(ValueError):
+            inc.redactor(refused, "input")
+    only_cards = inc.redactor(engine.only("pii.payment_card"), "input")
+    assert only_cards.feed("ghp_" + "a" * 36 + " 4111111111111111 ") + only_cards.finish() == "ghp_" + "a" * 36 + " [REDACTED] "
+    fine = {"signature_id": "own.key", "provider": "own", "secret_type": "key", "prefixes": ("own-",), "suffix_chars": "ab", "min_suffix_chars": 4}
+    inc.check_catalog(SecretCatalog("own", "1", (Signature(**fine), Signature(**fine | {"prefixes": ("top-",), "max_suffix_chars": inc.LONGEST_SUFFIX, "boundary_chars": "abc"}))))
+    for more in ({"boundary_chars": "abc"}, {"suffix_ending": "b"}, {"max_suffix_chars": inc.LONGEST_SUFFIX + 1}):
+        with pytest.raises(ValueError):
+            inc.redactor(replace(both, secrets=SecretCatalog("own", "1", (Signature(**fine | more),))), "input")
+
+
+def test_chunks_that_end_alone(spark):
+    rows = [(1, 0, "x" * 30), (1, 1, "y" * 30), (1, 2, "z"), (2, 0, "a 4111"), (2, 1, None), (2, 2, "111111111111 b")]
+    df = spark.createDataFrame(rows, "stream_id long, seq long, chunk string")
+    small = replace(engine.only("pii.payment_card", "secrets.detected"), max_input_chars=50)
+    assert {r.stream_id: (r.output, r.n_found) for r in inc.redact_chunks(df, small).collect()} == {1: (None, 0), 2: ("a [REDACTED] b", 1)}
+
+
+def test_idle_streams_go(spark, tmp_path):
+    schema = "stream_id string, seq long, chunk string, is_last boolean"
+    spark.createDataFrame([("a", 0, "held 4111", False)], schema).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = inc.redact_stream(source, idle_ms=500).writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        end, kept = time.time() + 60, []
+        while time.time() < end and kept[-1:] != [0]:
+            time.sleep(0.2)
+            kept = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+            kept = kept if 1 in kept else []
+        assert kept[-1:] == [0]
+    finally:
+        q.stop()
+
+
 def test_streaming_query(spark, tmp_path):
     texts = {"a": "x 4111111111111111 y", "b": "plain " * 20}
     rows = [(k, i // 7, t[i : i + 7], i + 7 >= len(t)) for k, t in texts.items() for i in range(0, len(t), 7)]
@@ -82,6 +126,7 @@ def test_tool_calls(spark):
     cases = [
         ("search", '{"q": "a", "n": 1}', None), ("write", "{}", "tool_not_allowed"), ("search", None, "arguments_required"), ("search", '{"n": 1}', "required_property_missing"), ("search", '{"q": "c"}', "enum_mismatch"),
         ("search", '{"q": "a", "n": true}', "type_mismatch"), ("search", '{"q": "a", "x": 1}', "additional_property_forbidden"), ("search", '{"q": "a", "l": [1, 2.5]}', None), ("search", "not json", "type_mismatch"),
+        ("search", '{"q": "c", "q": "a"}', "type_mismatch"), ("search", '{"q": "a", "l": [NaN]}', "type_mismatch"), ("search", '{"q": "a", "l": [1e999]}', "type_mismatch"),
         ("search", '{"q": "sk-abcdefghijklmnopqrstuvwxyz"}', "content_policy_violation"),
     ]
     df = spark.createDataFrame([(i, n, a) for i, (n, a, _) in enumerate(cases)], "call_key long, name string, arguments string")
