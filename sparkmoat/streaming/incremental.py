@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,6 +46,7 @@ def is_card(m: str) -> bool:
     return not (" " in m and "-" in m) and len(set(digits)) > 1 and luhn(digits)
 
 
+@lru_cache(16)
 def secret_pattern(catalog: SecretCatalog) -> re.Pattern:
     known = sorted(((p, s) for s in catalog.signatures for p in s.prefixes), key=lambda x: (-len(x[0]), x[0]))
     parts = []
@@ -57,6 +59,14 @@ def secret_pattern(catalog: SecretCatalog) -> re.Pattern:
     return re.compile("|".join(parts))
 
 
+@lru_cache(16)
+def run_chars(catalog: SecretCatalog) -> tuple[str, int]:
+    """The characters that a secret or what stands at its edges may have, and the length of the longest prefix."""
+    prefixes = [p for s in catalog.signatures for p in s.prefixes]
+    chars = {c for s in catalog.signatures for c in s.boundary_chars or s.suffix_chars}.union(*prefixes)
+    return "".join(sorted(chars)), max(map(len, prefixes), default=0)
+
+
 def resolve_mode(rules: dict[str, tuple[str, ...]], asked: str = "auto") -> str:
     """incremental or buffered for {rule: actions that its findings can end with}; an asked-for incremental mode that isn't possible is refused."""
     possible = bool(rules) and all(r in INCREMENTAL and set(a) == {"redact"} for r, a in rules.items())
@@ -100,7 +110,10 @@ class Redactor:
     catalog: SecretCatalog = BUILTIN
     max_chars: int = MAX_INPUT_CHARS
     rules: tuple[str, ...] = INCREMENTAL
-    tail: str = ""  # the end of what has come, with CONTEXT characters in front of ``seen``
+    tail: str = ""  # what has come and can still matter, with CONTEXT characters in front of ``seen``
+    more: list[str] = field(default_factory=list)  # chunks after the tail
+    came: int = 0  # the number of characters that have come
+    run: int = 0  # where the characters of ``run_chars`` that reach the end begin
     at: int = 0  # place of the tail's first character in the whole text
     seen: int = 0  # matches that start before this place have been dealt with
     sent: int = 0  # what stands before this place has left, or its marker has
@@ -118,10 +131,13 @@ class Redactor:
     def feed(self, chunk: str) -> str:
         if self.state != "open":
             raise ValueError(f"the stream is {self.state}")
-        if self.at + len(self.tail) + len(chunk) > self.max_chars:
+        if self.came + len(chunk) > self.max_chars:
             self.cancel()
             raise TooLong("the stream exceeds its limit")
-        self.tail += chunk
+        self.more.append(chunk)
+        before = len(chunk.rstrip(run_chars(self.catalog)[0]))
+        self.run = self.came + before if before else self.run
+        self.came += len(chunk)
         return self._release(False)
 
     def finish(self) -> str:
@@ -132,21 +148,18 @@ class Redactor:
         return out
 
     def cancel(self) -> None:
-        self.tail, self.state = "", "cancelled"
-
-    def _unsettled(self, text: str) -> int:
-        """From where on more text could change what is found: the start of the run of non-blanks that reaches the end, and HOLD characters."""
-        longest = max((len(p) for s in self.catalog.signatures for p in s.prefixes), default=0)
-        edge = set("".join((s.boundary_chars or s.suffix_chars) + "".join(s.prefixes) for s in self.catalog.signatures))
-        k = len(text)
-        while k > 0 and text[k - 1] in edge:
-            k -= 1
-        # A run that long ago began can't be kept whole: it is, as its length decides whether it matches.
-        return max(0, min(k, len(text) - HOLD - longest))
+        self.tail, self.more, self.state = "", [], "cancelled"
 
     def _release(self, final: bool) -> str:
-        text, at = self.tail, self.at
-        safe = len(text) if final else self._unsettled(text)
+        # More text could change what is found in the run that reaches the end, and in the last HOLD characters.
+        place = self.came if final else min(self.run, self.came - HOLD - run_chars(self.catalog)[1])
+        if not final and place <= self.seen:
+            # Nothing more is settled, so nothing is searched: a long run costs each of its chunks once.
+            if self.swallow:
+                self.found[-1], self.sent = (*self.found[-1][:2], self.came), self.came
+            return ""
+        text, at, self.more = self.tail + "".join(self.more), self.at, []
+        safe = place - at
         settled = []
         for start, end, rule, real in self._matches(text):
             if at + start < self.seen:
@@ -218,7 +231,7 @@ def redact_chunks(chunks: DataFrame, config: Config | None = None, scope: str =
     new = redactor(config, scope)
 
     def run(key, frame):
-        r, chunks = replace(new, found=[], counts={}), frame.sort_values("seq")["chunk"].tolist()
+        r, chunks = replace(new, more=[], found=[], counts={}), frame.sort_values("seq")["chunk"].tolist()
         out = [_fed(r, c, i == len(chunks) - 1) for i, c in enumerate(chunks)]
         return pd.DataFrame({"stream_id": [key[0]], "output": [None if r.state == "cancelled" else "".join(out)], "n_found": [len(r.found)]})
 
@@ -243,7 +256,7 @@ def redact_stream(chunks: DataFrame, config: Config | None = None, scope: str =
         if state.hasTimedOut:
             state.remove()
             return
-        r = pickle.loads(state.get[0]) if state.exists else replace(new, found=[], counts={})
+        r = pickle.loads(state.get[0]) if state.exists else replace(new, more=[], found=[], counts={})
         rows = pd.concat(list(frames)).sort_values("seq")
         out = [(key[0], int(seq), _fed(r, chunk, last)) for seq, chunk, last in zip(rows["seq"], rows["chunk"], rows["is_last"])]
         if rows["is_last"].any():

@@ -62,6 +62,14 @@ def test_limits_and_states():
         inc.resolve_mode({"pii.payment_card": ("redact", "block")}, "incremental")
 
 
+def test_unbroken_runs():
+    for text in ("a" * 400_000, "ghp_" + "a" * 400_000, "sk-" + "b" * 400_000):
+        began = time.process_time()
+        out, r = stream([*(text[i : i + 10] for i in range(0, len(text), 10)), " end"])
+        assert time.process_time() - began < 10
+        assert out == stream([text + " end"])[0] and r.more == []
+
+
 def test_modes_and_catalogs():
     both = engine.only("pii.payment_card", "secrets.detected")
     assert inc.resolve_mode(inc.possible_actions(both, "input")) == "incremental"
