@@ -90,9 +90,9 @@ class Config:
         return replace(self, policy=policy)
 
 
-def only(*rules: str, scopes: tuple[str, ...] | None = None, **more) -> Config:
-    """A configuration of the named rules with their own scopes, or with ``scopes``."""
-    return Config({r: (scopes or DESCRIBED[r][1], {}) for r in rules}, **more)
+def only(*rules: str, scopes: tuple[str, ...] | None = None, options: dict[str, dict] | None = None, **more) -> Config:
+    """A configuration of the named rules with their own scopes, or with ``scopes``; ``options`` are those of rules by their ids."""
+    return Config({r: (scopes or DESCRIBED[r][1], (options or {}).get(r, {})) for r in rules}, **more)
 
 
 def preset(name: str, policy: Policy = BALANCED, banned: LiteralCatalog | None = None) -> Config:
