@@ -229,7 +229,9 @@ def _crowded(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, widt
     that their sizes ask for, at least ``percent`` of either set. A near copy's
     rarest shingles are its own changes, so copies that differ in their changes
     never meet. Shingles that one set alone has come first and aren't posted;
-    the others are ordered by a tally of them all.
+    the others are ordered by a tally of them all. Of a list of sets of about
+    one size, only those stay in which the shingle stands in the first ninth (at
+    80 percent) and not the first fifth that a much smaller set would need.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = scratch.put(_sets(lookup(texts, crowd, "id"), width).dropDuplicates(["id"]), "crowded")
@@ -267,10 +269,15 @@ def _crowded(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, widt
                 yield pa.RecordBatch.from_arrays([pa.array(flat[order[k]].view(np.int64)), *map(pa.array, (ids, comp, n[row[k]], pos[k])), *map(pa.array, maps)], names=["token", "id", "comp", "n", "pos", *_MAPS])
 
     posted = scratch.put(sets.select("id", "comp", "n", "grams").mapInArrow(post, "token long, id long, comp long, n long, pos long, " + ", ".join(f"{m} long" for m in _MAPS)), "rare")
+    n_posted = max(posted.count(), 1)
+    # Two sets have in common at most what follows their first common shingle in either, so a place is of use only if that is enough for the smallest set of its list.
+    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("len"), F.min("n").alias("low"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    lists = scratch.put(lists.select("token", "len", "low"), "lists")
+    every, posted = posted, scratch.put(salted_join(posted, lists, ["token"], "id", "len", n_posted).where(f"{100 + percent} * (n - pos) >= {percent} * (n + low)").drop("len", "low"), "fits")
+    scratch.drop(every, lists)
     per = posted.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
     tops = per.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("t"), F.sum("size").alias("len"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     tops = scratch.put(tops.select("token", F.col("t.comp").alias("major"), "len"), "tops")
-    n_posted = max(posted.count(), 1)
     here = scratch.put(salted_join(posted, tops, ["token"], "id", "len", n_posted), "here")
     need = f"ceil({percent} * (n + n2) / {100 + percent}D - 1e-9)"
     pairs = salted_pairs(here.where("comp <> major"), here, "token", "id", ("id", "comp", "n", "pos", *_MAPS), n_posted).where(f"comp <> comp2 and (comp = major or id2 < id) and 100 * least(n, n2) >= {percent} * greatest(n, n2) and least(n - pos, n2 - pos2) >= {need} and {repeats.apart(WORDS, percent)}")

@@ -155,6 +155,26 @@ def test_near_crowded(spark):
     assert got == near_by_hand(rows, 2)
 
 
+def test_near_crowded_places(spark, monkeypatch):
+    """Near copies of one size just under the threshold: most of their common shingles stand too far back for sets of that size, and are not paired."""
+    r, base, rows, met = random.Random(4), prose(150, 6).split(), [], []
+    for i in range(160):
+        w = base[:]
+        for k in r.sample(range(len(w)), r.randint(0, 12)):
+            w[k] = "".join(r.choice("xyz") for _ in range(9))
+        rows.append((i, " ".join(w)))
+
+    def counted(few, many, key, *args, plain=minhash_dedup.salted_pairs):
+        sizes = [{x[0]: x[1] for x in side.groupBy(key).count().collect()} for side in (few, many)]
+        met.append(sum(n * sizes[1][k] for k, n in sizes[0].items()))
+        return plain(few, many, key, *args)
+
+    monkeypatch.setattr(minhash_dedup, "salted_pairs", counted)
+    got = sorted(map(tuple, minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()), key=str)
+    assert got == near_by_hand(rows, 2)
+    assert sum(met) < 5_000  # 57,758 by the first fifth of each set alone
+
+
 def test_near_documents(documents):
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
     got = sorted(map(tuple, minhash_dedup.near_duplicates(documents, width=5).collect()), key=str)
