@@ -25,8 +25,8 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: All ASCII that is neither a letter nor a digit: the separators of plain words.
 PUNCT = np.ones(256, dtype=bool)
 PUNCT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-#: Bytes handled at once.
-SLICE = 1 << 20
+#: Bytes handled at once; and where several 64-bit arrays are made for each byte beside other large ones.
+SLICE, PART = 1 << 20, 1 << 18
 _POW = np.ones(1, dtype=_U)
 _INV = np.ones(1, dtype=_U)
 

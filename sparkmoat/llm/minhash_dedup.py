@@ -46,7 +46,7 @@ _MAPS = [f"m{k}" for k in range(WORDS)]
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int):
     """For each row its sorted distinct shingle hashes."""
-    for i, j in B.slices(off):
+    for i, j in B.slices(off, B.PART):
         h, at = B.hash_words(raw, off, i, j)
         for k in range(j - i):
             yield np.unique(B.shingle(h[at[k] : at[k + 1]], width))
@@ -190,12 +190,13 @@ def _confirm(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, widt
 
     def with_both(pairs, total, table, column):
         """pairs with ``column`` of both ends; an end in very many pairs is salted."""
+        out = pairs
         for end, other in (("b", "a"), ("a", "b")):
+            # counted in the written pairs, so that the first join isn't run again for the second
             sizes = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("deg"))
             side = table.select(F.col("id").alias(end), F.col(column).alias(f"{column}_{end}"), F.col("n").alias(f"n_{end}")).join(sizes, end)
-            yield_from = salted_join(pairs, side, [end], other, "deg", total).drop("deg")
-            pairs = yield_from
-        return pairs
+            out = salted_join(out, side, [end], other, "deg", total).drop("deg")
+        return out
 
     pairs = scratch.put(pairs, "pairs")
     total = pairs.count()

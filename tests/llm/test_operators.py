@@ -175,6 +175,22 @@ def test_near_crowded_places(spark, monkeypatch):
     assert sum(met) < 5_000  # 57,758 by the first fifth of each set alone
 
 
+def test_near_candidates_once(spark, monkeypatch):
+    """Candidates meet the signatures of either end in one join each, also where the ends' numbers of pairs are counted."""
+    plans, put = [], scratch.Scratch.put
+
+    def seen(self, df, name):
+        if name == "likely":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return put(self, df, name)
+
+    monkeypatch.setattr(scratch.Scratch, "put", seen)
+    rows = [(i, prose(60, i // 2) + " more" * (i % 2)) for i in range(20)]
+    got = sorted(map(tuple, minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()), key=str)
+    assert got == near_by_hand(rows, 2)
+    assert plans and all(p.count("Join LeftOuter") == 2 for p in plans)  # 4 when degrees were counted in the joined rows
+
+
 def test_near_documents(documents):
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
     got = sorted(map(tuple, minhash_dedup.near_duplicates(documents, width=5).collect()), key=str)
