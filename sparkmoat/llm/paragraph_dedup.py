@@ -78,7 +78,7 @@ def _shingled(column: pa.Array):
         cut = np.unique(np.concatenate([off[i : j + 1], a + np.flatnonzero(raw[a:b] == 10)]))
         if len(cut) < 2:
             continue
-        parts = [B.hash_words(raw, cut, p, q, sep=B.PUNCT) for p, q in B.slices(cut)]
+        parts = [B.hash_words(raw, cut, p, q, sep=B.PUNCT) for p, q in B.slices(cut, B.PART)]
         h = np.concatenate([x for x, _ in parts])
         if len(h) < WIDTH:
             continue

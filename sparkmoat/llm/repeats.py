@@ -14,9 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import BATCH, batches_of
+
 _U = np.uint64
 #: Keys that a bucket holds on average, and that a task gathers before it sends them on.
-BUCKET, BLOCK = 1 << 20, 1 << 19
+BUCKET, BLOCK = 1 << 20, 1 << 18
 #: Bits for each repeated key (two of them are set), and all bits together at most: 64 MB.
 PER_KEY, MOST = 16, 1 << 29
 
@@ -101,7 +103,8 @@ def repeated(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[tuple[np
             marks[at & (bits - 1)] = True
         return pa.table({"bucket": [key[0].as_py()], "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()] if len(got) else [b""], pa.binary())}, schema=pa.schema([("bucket", pa.int32()), ("bits", pa.binary())]))
 
-    found = rows.mapInArrow(send, "bucket int, prints binary").groupBy("bucket").applyInArrow(mark, "bucket int, bits binary").collect()  # MOST bits in all
+    with batches_of(rows.sparkSession, BATCH):
+        found = rows.mapInArrow(send, "bucket int, prints binary").groupBy("bucket").applyInArrow(mark, "bucket int, bits binary").collect()  # MOST bits in all
     start, mask, parts, at = np.full(1 << shift, -1, dtype=np.int64), np.zeros(1 << shift, dtype=np.int64), [], 0
     for r in found:
         if len(r.bits):
@@ -129,18 +132,20 @@ def tally(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]
                     got[spot] += times.astype(np.uint32)
                 seen += len(k)
         if seen:
-            parts = [x.tobytes() for x in got.reshape(-1, block)]
-            yield pa.RecordBatch.from_arrays([pa.array([seen % 64] * len(parts)), pa.array(range(len(parts))), pa.array(parts, pa.binary())], names=["salt", "block", "n"])
+            for k, x in enumerate(got.reshape(-1, block)):
+                yield pa.RecordBatch.from_arrays([pa.array([seen % 64]), pa.array([k]), pa.array([x.tobytes()], pa.binary())], names=["salt", "block", "n"])
 
     def add(key, table):
         total = np.zeros(block, dtype=np.uint32)
-        for x in table.column("n").to_pylist():
-            total += np.frombuffer(x, dtype=np.uint32)
+        for x in table.column("n"):
+            total += np.frombuffer(x.as_buffer(), dtype=np.uint32)
         return pa.table({"block": [key[-1].as_py()], "n": [total.tobytes()]})
 
     once = rows.mapInArrow(count, "salt long, block long, n binary").groupBy("salt", "block").applyInArrow(add, "block long, n binary")
     out = np.zeros(2 * size, dtype=np.uint32)
-    for r in once.groupBy("block").applyInArrow(add, "block long, n binary").collect():  # one sum of each block
+    with batches_of(rows.sparkSession, BATCH):
+        sums = once.groupBy("block").applyInArrow(add, "block long, n binary").collect()  # one sum of each block
+    for r in sums:
         out[r.block * block : (r.block + 1) * block] = np.frombuffer(bytes(r.n), dtype=np.uint32)
     return out
 
@@ -162,7 +167,7 @@ def parity(hashes: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
     """
     n = np.diff(np.append(first, len(hashes)))
     out = np.zeros((len(first), bits // 64), dtype=np.int64)
-    step = max((1 << 22) // bits, 1)
+    step = max((1 << 19) // bits, 1)
     for i in range(0, len(first), step):
         j = min(i + step, len(first))
         part = hashes[first[i] : first[i] + n[i:j].sum()]

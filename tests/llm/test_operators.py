@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkmoat.llm import bpe, bytehash, decontaminate, exact_dedup, langid, lattice_lm, minhash_dedup, paragraph_dedup, preference, quality, queries, sampling, scratch, toxicity
+from sparkmoat.llm import bpe, bytehash, decontaminate, exact_dedup, langid, lattice_lm, minhash_dedup, paragraph_dedup, preference, quality, queries, repeats, sampling, scratch, toxicity
 
 SF, SF2 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -191,6 +191,24 @@ def test_near_candidates_once(spark, monkeypatch):
     assert plans and all(p.count("Join LeftOuter") == 2 for p in plans)  # 4 when degrees were counted in the joined rows
 
 
+def test_repeats_batches(spark):
+    """Texts and sets go to Python in batches of bounded bytes, 10,000 rows in one batch or not."""
+    df = spark.range(3000, numPartitions=1).select("id", F.repeat(F.lit("0123456789"), 1000).alias("text"))  # 30 MB
+
+    def keys(b):
+        assert b.nbytes <= 2 * scratch.BATCH, b.nbytes
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        yield (ids // 2).astype(np.uint64) << np.uint64(20), ids
+
+    def once(b):
+        for k, _ in keys(b):
+            yield k
+
+    assert repeats.repeated(df, keys, 3000)(np.arange(1500, dtype=np.uint64) << np.uint64(20)).all()
+    counts = repeats.tally(df, once, 3000)
+    assert (repeats.counted(counts, np.arange(1500, dtype=np.uint64) << np.uint64(20)) >= 2).all() and counts.sum() == 6000
+
+
 def test_near_documents(documents):
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
     got = sorted(map(tuple, minhash_dedup.near_duplicates(documents, width=5).collect()), key=str)
