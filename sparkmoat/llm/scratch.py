@@ -15,6 +15,8 @@ HEAVY = 1000
 SMALL = 1 << 18
 #: Bytes of one Arrow batch to or from Python while a table is written.
 BATCH = 8 << 20
+#: The share of the driver's heap from which on its garbage is collected after a table is written.
+FULL = 0.5
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +53,20 @@ def batches_of(spark: SparkSession, size: int):
         spark.conf.set(key, before)
 
 
+def tidy(spark: SparkSession) -> bool:
+    """Collects the driver's garbage if its heap has grown beyond FULL of what it may take.
+
+    Plans, statistics, shuffles and broadcasts of jobs that are over stay until
+    then, and by itself the heap grows to its bound before they go. A cluster's
+    driver holds little else; a local one also runs the tasks.
+    """
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() <= FULL * runtime.maxMemory():
+        return False
+    spark._jvm.java.lang.System.gc()
+    return True
+
+
 class Scratch:
     """Writes intermediate results as Parquet in the shared folder and reads them back.
 
@@ -68,6 +84,7 @@ class Scratch:
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
         with batches_of(self.spark, BATCH):
             df.write.parquet(path)
+        tidy(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

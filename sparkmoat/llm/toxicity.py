@@ -56,7 +56,7 @@ def train(labels: np.ndarray, texts: pa.Array, weights: np.ndarray, epochs: int
     """FTRL-proximal with per-coordinate rates; a feature counts once a text. weights: importance of each row."""
     raw, off = B.buffers(texts)
     rows = []
-    for i, j in B.slices(off):
+    for i, j in B.slices(off, B.PART):
         r, f = _features(raw, off, i, j)
         key = np.unique(r * (1 << BITS) + f)
         rows += np.split(key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(1, j - i)))
@@ -80,9 +80,9 @@ def train(labels: np.ndarray, texts: pa.Array, weights: np.ndarray, epochs: int
             zb += g - sb * bias
             nb += g * g
             bias = -zb / ((beta + np.sqrt(nb)) / alpha)
-    w = weight(z, n)
-    index = np.flatnonzero(w)
-    return SparseWeights(index.astype(np.int32), w[index].astype(np.float32), float(bias))
+    met = np.flatnonzero(n)
+    w = weight(z[met], n[met])
+    return SparseWeights(met[w != 0].astype(np.int32), w[w != 0].astype(np.float32), float(bias))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", learn_from: Column | None = None) -> SparseWeights | None:

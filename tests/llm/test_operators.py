@@ -191,6 +191,17 @@ def test_near_candidates_once(spark, monkeypatch):
     assert plans and all(p.count("Join LeftOuter") == 2 for p in plans)  # 4 when degrees were counted in the joined rows
 
 
+def test_driver_garbage(spark, monkeypatch):
+    """After a table is written the driver's garbage goes if its heap has grown."""
+    ran, tidy = [], scratch.tidy
+    monkeypatch.setattr(scratch, "tidy", lambda s: ran.append(tidy(s)))
+    for full in (0, 1):
+        monkeypatch.setattr(scratch, "FULL", full)
+        kept = scratch.Scratch(spark)
+        assert kept.put(spark.range(3), "few").count() == 3
+    assert ran == [True, False]
+
+
 def test_repeats_batches(spark):
     """Texts and sets go to Python in batches of bounded bytes, 10,000 rows in one batch or not."""
     df = spark.range(3000, numPartitions=1).select("id", F.repeat(F.lit("0123456789"), 1000).alias("text"))  # 30 MB
