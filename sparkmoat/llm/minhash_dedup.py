@@ -32,8 +32,8 @@ K, MATCH = 32, 7
 COMMON = 2
 #: Lists up to this length are compared pair by pair; ratio of the size classes for longer ones.
 SHORT, CLASS = 32, 1.06
-#: 64-bit words of the bitmaps that tell sets of a crowded list apart before they are compared.
-WORDS = 8
+#: 64-bit words of the bitmaps that tell sets of a crowded list apart before they are compared; places before a shingle that are looked up for one that two sets met under already.
+WORDS, BEFORE = 32, 32
 #: Members that are compared with one hub in one go.
 STAR = 512
 _U = np.uint64
@@ -41,7 +41,7 @@ _RNG = np.random.default_rng(977)
 _MULT = _RNG.integers(1, 2**63, 2 * K, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _ADD = _RNG.integers(1, 2**63, 2 * K, dtype=np.int64).astype(_U)
 _SET = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
-_MAPS = [f"m{k}" for k in range(WORDS)]
+_MAPS = [f"m{k}_" for k in range(WORDS)]
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int):
@@ -266,10 +266,16 @@ def _crowded(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, widt
                 pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
                 k = np.flatnonzero((often[order] > 0) & (100 * pos <= (100 - percent) * n[row]))
                 ids, comp = (part.column(c).to_numpy(zero_copy_only=False)[row[k]] for c in (0, 1))
-                maps = repeats.parity(flat, np.cumsum(n) - n, 64 * WORDS)[row[k]].T.copy()
-                yield pa.RecordBatch.from_arrays([pa.array(flat[order[k]].view(np.int64)), *map(pa.array, (ids, comp, n[row[k]], pos[k])), *map(pa.array, maps)], names=["token", "id", "comp", "n", "pos", *_MAPS])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[order[k]].view(np.int64)), *map(pa.array, (ids, comp, n[row[k]], pos[k]))], names=["token", "id", "comp", "n", "pos"])
 
-    posted = scratch.put(sets.select("id", "comp", "n", "grams").mapInArrow(post, "token long, id long, comp long, n long, pos long, " + ", ".join(f"{m} long" for m in _MAPS)), "rare")
+    def mapped(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                flat, n = _grams(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, repeats.parity(flat, np.cumsum(n) - n, 64 * WORDS).T.copy())], names=["id", *_MAPS])
+
+    posted = scratch.put(sets.select("id", "comp", "n", "grams").mapInArrow(post, "token long, id long, comp long, n long, pos long"), "rare")
     n_posted = max(posted.count(), 1)
     # Two sets have in common at most what follows their first common shingle in either, so a place is of use only if that is enough for the smallest set of its list.
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("len"), F.min("n").alias("low"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
@@ -278,12 +284,19 @@ def _crowded(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, widt
     scratch.drop(every, lists)
     per = posted.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
     tops = per.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("t"), F.sum("size").alias("len"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    tops = scratch.put(tops.select("token", F.col("t.comp").alias("major"), "len"), "tops")
-    here = scratch.put(salted_join(posted, tops, ["token"], "id", "len", n_posted), "here")
+    tops = scratch.put(tops.select("token", F.col("t.comp").alias("major"), "len", (F.col("len") - F.col("t.size")).alias("rest")), "tops")
+    places = scratch.put(salted_join(posted, tops, ["token"], "id", "len", n_posted), "places")
+    marked = scratch.put(places.select("id").distinct(), "marked")
+    maps = lookup(table, marked, "id").select("id", "grams").mapInArrow(mapped, "id long, " + ", ".join(f"{m} long" for m in _MAPS))
+    # A pair is made once, under its first common shingle: it passes there if it passes under a later one.
+    before = F.collect_list("token").over(Window.partitionBy("id").orderBy("pos").rowsBetween(-BEFORE, -1))
+    here = scratch.put(places.withColumn("before", before).join(maps, "id"), "here")
     need = f"ceil({percent} * (n + n2) / {100 + percent}D - 1e-9)"
-    pairs = salted_pairs(here.where("comp <> major"), here, "token", "id", ("id", "comp", "n", "pos", *_MAPS), n_posted).where(f"comp <> comp2 and (comp = major or id2 < id) and 100 * least(n, n2) >= {percent} * greatest(n, n2) and least(n - pos, n2 - pos2) >= {need} and {repeats.apart(WORDS, percent)}")
+    pairs = salted_pairs(here.where("comp <> major"), here, "token", "id", ("id", "comp", "n", "pos", "before", *_MAPS), n_posted, "rest").where(
+        f"comp <> comp2 and (comp = major or id2 < id) and 100 * least(n, n2) >= {percent} * greatest(n, n2) and least(n - pos, n2 - pos2) >= {need} and {repeats.apart(WORDS, percent)} and not arrays_overlap(before, before2)"
+    )
     pairs = scratch.put(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "rare-pairs")
-    scratch.drop(sets, posted, tops, here)
+    scratch.drop(sets, posted, tops, places, marked, here)
     return pairs
 
 

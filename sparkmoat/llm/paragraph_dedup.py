@@ -40,7 +40,7 @@ WORDS = 4
 #: Bytes of text to a key, roughly: sets the number of buckets that keys are dealt over.
 BYTES_A_KEY = 20
 _U = np.uint64
-_MAPS = [f"m{k}" for k in range(WORDS)]
+_MAPS = [f"m{k}_" for k in range(WORDS)]
 
 
 def tune(percent: int, recall: float = 0.995, rows: int = 2) -> int:

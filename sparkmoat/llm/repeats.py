@@ -178,6 +178,6 @@ def parity(hashes: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
 
 
 def apart(words: int, percent: int) -> str:
-    """SQL that is false only for pairs of sets, of n and n2 values with bitmaps m0.. and m02.., that can't reach ``percent``: too many values are in one of them alone."""
-    differ = " + ".join(f"bit_count(m{k} ^ m{k}2)" for k in range(words))
+    """SQL that is false only for pairs of sets, of n and n2 values with bitmaps m0_.. and m0_2.., that can't reach ``percent``: too many values are in one of them alone."""
+    differ = " + ".join(f"bit_count(m{k}_ ^ m{k}_2)" for k in range(words))
     return f"{100 + percent} * ({differ}) <= {100 - percent} * (n + n2)"

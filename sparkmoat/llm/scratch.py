@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is heavy when it holds more than 1/HEAVY of the rows, so there are fewer than HEAVY of them.
@@ -120,9 +120,20 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str,
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
-def salted_pairs(few: DataFrame, many: DataFrame, key: str, spread: str, columns: tuple[str, ...], total: int) -> DataFrame:
-    """few JOIN many USING (key); ``columns`` of ``few`` get a 2 at the end. Both have ``len``, the key's number of rows in ``many``, and ``total`` is at least the sum of those: keys above total/HEAVY are dealt over salts, and the rows of ``few`` go to each."""
-    parts = F.ceil(F.col("len") / F.lit(max(total // HEAVY, 1))).cast("int")
+def salts(total: int, rest: str | None = None) -> Column:
+    """The number of salts of a key in ``salted_pairs``."""
+    limit = F.lit(max(total // HEAVY, 1))
+    return F.ceil(F.col("len") / (F.greatest(limit, F.ceil(F.col(rest) / 4)) if rest else limit)).cast("int")
+
+
+def salted_pairs(few: DataFrame, many: DataFrame, key: str, spread: str, columns: tuple[str, ...], total: int, rest: str | None = None) -> DataFrame:
+    """few JOIN many USING (key); ``columns`` of ``few`` get a 2 at the end. Both have ``len``, the key's number of rows in ``many``, and ``total`` is at least the sum of those: keys above total/HEAVY are dealt over salts, and the rows of ``few`` go to each.
+
+    ``rest`` names a column with the key's number of rows in ``few``: a salt then
+    takes a quarter as many rows of ``many`` at least, so that no more than
+    4 * len + rest rows of ``few`` go out for a key.
+    """
+    parts = salts(total, rest)
     left = few.select(key, *(F.col(c).alias(f"{c}2") for c in columns), F.explode(F.sequence(F.lit(0), parts - 1)).alias("__salt"))
     right = many.withColumn("__salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("len")
     return left.join(right, [key, "__salt"]).drop("__salt")

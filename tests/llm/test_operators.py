@@ -191,6 +191,40 @@ def test_near_candidates_once(spark, monkeypatch):
     assert plans and all(p.count("Join LeftOuter") == 2 for p in plans)  # 4 when degrees were counted in the joined rows
 
 
+def test_near_crowded_once(spark, monkeypatch):
+    """Near copies that share several of their changes: a pair of a crowded list is made under its first common shingle only, and hardly one under the threshold is made."""
+    r, base, rows, made = random.Random(8), prose(170, 8).split(), [], []
+    changes = [(at, "".join(r.choice("xyz") for _ in range(9))) for at in r.sample(range(170), 40)]
+    for i in range(160):
+        w = base[:]
+        for at, word in r.sample(changes, 13):
+            w[at] = word
+        rows.append((i, " ".join(w)))
+
+    class Counted:
+        def __init__(self, pairs):
+            self.pairs = pairs
+
+        def where(self, may):
+            out = self.pairs.where(may)
+            made.append([out.count(), out.select(F.least("id", "id2"), F.greatest("id", "id2")).distinct().count()])
+            return out
+
+    monkeypatch.setattr(minhash_dedup, "salted_pairs", lambda *args, plain=minhash_dedup.salted_pairs: Counted(plain(*args)))
+    got = sorted(map(tuple, minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()), key=str)
+    assert got == near_by_hand(rows, 2)
+    assert made and made[0][0] == made[0][1] > 0, made
+
+
+def test_salted_pairs_in_proportion(spark):
+    """A key whose rows nearly all meet all others: its rows go out in proportion to their number, not once for each row that they meet."""
+    many = spark.range(400).select(F.lit(1).alias("k"), "id", F.lit(400).alias("len"), F.lit(300).alias("rest"))
+    few = many.where("id < 300")
+    pairs = scratch.salted_pairs(few, many, "k", "id", ("id",), 400, "rest")
+    assert pairs.count() == 300 * 400 == pairs.select("id", "id2").distinct().count()
+    assert few.select(F.sum(scratch.salts(400, "rest"))).first()[0] <= 4 * 400 + 300  # 120,000 by the length alone
+
+
 def test_driver_garbage(spark, monkeypatch):
     """After a table is written the driver's garbage goes if its heap has grown."""
     ran, tidy = [], scratch.tidy
