@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from sparkmoat.llm import bpe, decontaminate, exact_dedup, minhash_dedup, toxicity
 from sparkmoat.llm.queries import table, tokenizer_path
 from sparkmoat.llm.sampling import remainder
-from sparkmoat.llm.scratch import Scratch
+from sparkmoat.llm.scratch import Scratch, bound_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores under 0.3; null and empty texts are scored by the constant alone. Ties, repeats and empty tables need no care."""
+    bound_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn_from=remainder("doc_id", 4) != 2)
     return docs.where(toxicity.score_of(docs, model) < 0.3)
 
@@ -34,6 +35,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, and a hash of the text that they decode to; a null text is empty."""
+    bound_batches(spark)
     done = bpe.round_trip(docs, tokenizer_path())
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("text_sha256"))
 

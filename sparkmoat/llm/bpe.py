@@ -68,7 +68,9 @@ class ByteBPE:
         self.known = {self.bytes[i]: i for i in ids.values() if self.rank[i] >= 0 or len(self.bytes[i]) == 1}
         self.longest = max(map(len, self.known), default=1)
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memory: dict[str, tuple[bytes, bytes]] = {}
+        self.memory: dict[str, bytes] = {}
+        #: What remembered words are decoded to, where that isn't their own bytes again.
+        self.other: dict[str, bytes] = {}
         self.letters = 0
         self.good: dict[int, bool] = {}
         self.merged = 0
@@ -167,7 +169,9 @@ class ByteBPE:
                 self.merged += 1
         self.letters += sum(map(len, words))
         for w, b, g in zip(words, raw, guesses):
-            self.memory[w] = (np.array(g, dtype=np.int32).tobytes(), b"".join([self.bytes[t] for t in g]))
+            self.memory[w] = np.array(g, dtype=np.int32).tobytes()
+            if (back := b"".join([self.bytes[t] for t in g])) != b:
+                self.other[w] = back
 
     def _pieces(self, text: str):
         """Runs of at most PIECES words, or the id of a special token."""
@@ -191,15 +195,15 @@ class ByteBPE:
             nonlocal held
             if len(self.memory) > REMEMBERED or self.letters > LETTERS:
                 self.memory.clear()
+                self.other.clear()
                 self.letters = 0
             new = set().union(*(p for _, p in waiting)) - self.memory.keys() if waiting else set()
             if new:
                 self.learn(list(new))
-            look = self.memory.__getitem__
+            look, other = self.memory.__getitem__, self.other
             for i, p in waiting:
-                got = [*map(look, p)]
-                ids[i].append(b"".join([g[0] for g in got]))
-                back[i].append(b"".join([g[1] for g in got]))
+                ids[i].append(b"".join([*map(look, p)]))
+                back[i].append(b"".join([other[w] if w in other else w.encode() for w in p]) if other else "".join(p).encode())
             waiting.clear()
             held = 0
 

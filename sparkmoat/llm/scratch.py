@@ -53,6 +53,18 @@ def batches_of(spark: SparkSession, size: int):
         spark.conf.set(key, before)
 
 
+def bound_batches(spark: SparkSession, size: int = BATCH) -> None:
+    """Bounds the bytes of Arrow batches in all later plans of the session, unless it has a lower bound already: for a table that the caller writes, which is planned only then."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark, spark.conf.get(key)) <= size:
+        spark.conf.set(key, size)
+
+
+def _bytes(spark: SparkSession, text: str) -> int:
+    """A size as Spark writes it."""
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)
+
+
 def tidy(spark: SparkSession) -> bool:
     """Collects the driver's garbage if its heap has grown beyond FULL of what it may take.
 

@@ -59,7 +59,7 @@ def train(labels: np.ndarray, texts: pa.Array, weights: np.ndarray, epochs: int
     for i, j in B.slices(off, B.PART):
         r, f = _features(raw, off, i, j)
         key = np.unique(r * (1 << BITS) + f)
-        rows += np.split(key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(1, j - i)))
+        rows += np.split((key & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(key >> BITS, np.arange(1, j - i)))
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = bias = 0.0
     rng = np.random.default_rng(7)
@@ -109,20 +109,24 @@ def score_of(docs: DataFrame, model: SparseWeights | None, text_col: str = "text
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
-        model = shared.value
-        dense = _dense(model)
-        raw, off = B.buffers(text)
-        sums = np.zeros(len(text))
-        for i, j in B.slices(off):
-            r, f = _features(raw, off, i, j)
-            hit = np.flatnonzero(dense[f])
-            key = np.unique(r[hit] * (1 << BITS) + f[hit])
-            sums[i:j] = np.bincount(key >> BITS, weights=dense[key & ((1 << BITS) - 1)], minlength=j - i)
-        return pa.array(1 / (1 + np.exp(-np.clip(sums + model.bias, -30, 30))))
+        return pa.array(scores(shared.value, text))
 
     return scored(F.col(text_col))
 
 
+def scores(model: SparseWeights, text: pa.Array) -> np.ndarray:
+    """The score of each text, from parts of B.PART bytes: several arrays of numbers are made for each byte and word."""
+    dense = _dense(model)
+    raw, off = B.buffers(text)
+    sums = np.zeros(len(text))
+    for i, j in B.slices(off, B.PART):
+        r, f = _features(raw, off, i, j)
+        hit = np.flatnonzero(dense[f])
+        key = np.unique(r[hit] * (1 << BITS) + f[hit])
+        sums[i:j] = np.bincount(key >> BITS, weights=dense[key & ((1 << BITS) - 1)], minlength=j - i)
+    return 1 / (1 + np.exp(-np.clip(sums + model.bias, -30, 30)))
+
+
 def _dense(model: SparseWeights) -> np.ndarray:
     """The weights by feature, made once for a model."""
     if getattr(model, "made", None) is None:

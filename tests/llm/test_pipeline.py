@@ -1,11 +1,15 @@
 """The pipeline against a plain version of each stage."""
 
+import random
+import tracemalloc
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkmoat.llm import toxicity
+from sparkmoat.llm import bpe, scratch, toxicity
 from sparkmoat.llm.sampling import remainder
 
 from .test_operators import contamination_by_hand, near_by_hand, norm, prose
@@ -51,3 +55,51 @@ def test_pipeline_awkward(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.where(F.lit(False)), str(tmp_path)).count() == 0
+
+
+def test_batches_of_stages(spark):
+    """What the stages leave to their caller to write has batches of bounded bytes, too; a lower bound of the session stays."""
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.read.parquet(f"{SF}/documents.parquet")
+    wide = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("0123456789"), 1000).alias("text"))  # 30 MB
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    before = spark.conf.get(key)
+    try:
+        for name in ("toxicity", "bpe"):
+            for own in (before, "1m"):
+                spark.conf.set(key, own)
+                dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+                assert wide.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= 2 * scratch.BATCH
+                assert (spark.conf.get(key) == "1m") == (own == "1m")
+    finally:
+        spark.conf.set(key, before)
+
+
+def taken(f):
+    """What f() returns, and the MB that Python had at most and has left meanwhile."""
+    tracemalloc.start()
+    try:
+        out = f()
+        left, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    return out, most / 1e6, left / 1e6
+
+
+def test_toxicity_memory():
+    """What scoring takes beside the texts doesn't grow with the batch, and parts give the scores of single texts."""
+    texts = pa.array([prose(300, k) for k in range(2000)])
+    model = toxicity.train((pa.compute.match_substring(texts, "ab").to_numpy(zero_copy_only=False)[:100]).astype(float), texts[:100], texts.is_valid().to_numpy(zero_copy_only=False).astype(float), l1=0.1)
+    toxicity.scores(model, texts[:1])
+    got, most, _ = taken(lambda: toxicity.scores(model, texts))
+    assert most < 30, most
+    assert len(model.index) and got[::97].tolist() == [toxicity.scores(model, texts[k : k + 1])[0] for k in range(0, 2000, 97)]
+
+
+def test_tokenizer_memory():
+    """A remembered word takes its ids only."""
+    tokenizer, r = bpe._loaded(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
+    words = [" " + "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(20_000)]
+    tokenizer.memory.clear()
+    (ids, back), _, left = taken(lambda: tokenizer.encode_batch(["".join(words)]))
+    assert back[0] == "".join(words).encode() and tokenizer.decode(memoryview(ids[0]).cast("i")) == "".join(words)
+    assert left < 4.5, left
